@@ -65,6 +65,9 @@ _WORDS = Rolling(3)
 
 WORD_SPACE = np.ones(256, bool)
 WORD_SPACE[list(SPACES)] = False
+#: Bytes of words made of letters and digits: lower-case ASCII, and all bytes of non-ASCII signs.
+WORD_LETTERS = np.zeros(256, bool)
+WORD_LETTERS[0x30:0x3A] = WORD_LETTERS[0x61:0x7B] = WORD_LETTERS[0x80:] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 0x20
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracelake.llm import secret_scan, token_count
+from tracelake.llm import arc_warc, decontam, media_chunks, packing, quality, secret_scan, token_count, toxicity
 from tracelake.runtime import table
 
 
@@ -25,7 +25,39 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digests(secret_scan.scan(table(spark, sf_dir, "documents")))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")), threshold=0.3)
+
+
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op7_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return arc_warc.archive_pages(table(spark, sf_dir, "pages"))
+
+
+def op8_media_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media_chunks.round_trip(table(spark, sf_dir, "documents"))
+
+
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"))
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels")), threshold=0.7)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_token_counts": op3_token_counts,
+    "op4_toxicity": op4_toxicity,
     "op5_secrets": op5_secrets,
+    "op6_decontamination": op6_decontamination,
+    "op7_arc_to_warc": op7_arc_to_warc,
+    "op8_media_chunks": op8_media_chunks,
+    "op9_packing": op9_packing,
+    "op10_quality": op10_quality,
 }
