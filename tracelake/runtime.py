@@ -104,7 +104,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def input_bytes(df: DataFrame) -> int:
     """The optimiser's size estimate for a plan, used only to choose partition counts."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().longValue())
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def parts_for(n_bytes: int, per_part: int, least: int = 8, most: int = 200_000) -> int:
