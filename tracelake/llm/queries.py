@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracelake.llm import arc_warc, decontam, media_chunks, packing, quality, secret_scan, token_count, toxicity
+from tracelake.llm import arc_warc, decontam, media_chunks, packing, quality, secret_scan, simhash, substring_dedup, token_count, toxicity
 from tracelake.runtime import table
 
 
@@ -17,6 +17,14 @@ def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.digests(table(spark, sf_dir, "documents"))
+
+
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.shown(simhash.near_duplicates(table(spark, sf_dir, "documents")))
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.count_tokens(table(spark, sf_dir, "documents"), vocabulary_path(), limit=1024)
 
@@ -52,6 +60,8 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_substring_dedup": op1_substring_dedup,
+    "op2_simhash": op2_simhash,
     "op3_token_counts": op3_token_counts,
     "op4_toxicity": op4_toxicity,
     "op5_secrets": op5_secrets,
