@@ -64,16 +64,19 @@ def fingerprint(text: bytes, k: int = 4) -> int:
     return int.from_bytes(np.packbits(counts * 2 > len(hashes)).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, k: int = 4, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(doc_id, fp) per row of ``docs``; the fingerprint as a signed 64-bit integer."""
+def fingerprints(docs: DataFrame, k: int = 4, text: str = "text", key: str = "doc_id", row_key: bool = False) -> DataFrame:
+    """(doc_id, fp) per row of ``docs``, the fingerprint as a signed 64-bit integer; with ``row_key`` also ``row``, a
+    hash of id and text."""
     ship_package(docs.sparkSession)
+    more = ["row"] if row_key else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = np.array([fingerprint(t, k) for t in texts(batch)], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), pa.array(found)], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), pa.array(found), *(column(batch, c) for c in more)], ["doc_id", "fp", *more])
 
-    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, fp long")
+    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"), *([F.xxhash64(F.col(key).cast("long"), F.col(text)).alias("row")] if row_key else []))
+    return rows.mapInArrow(run, "doc_id long, fp long" + ", row long" * row_key)
 
 
 def scheme(n: int, radius: int = RADIUS) -> list[tuple[int, list[int]]]:
@@ -197,16 +200,34 @@ def links(classes: DataFrame, scratch: Scratch, radius: int = RADIUS, n: int | N
     return scratch.keep(dealt.mapInArrow(compare, "a long, b long"), "links")
 
 
-def near_duplicates(docs: DataFrame, k: int = 4, radius: int = RADIUS, text: str = "text", key: str = "doc_id", tile: int = TILE) -> DataFrame:
-    """(doc_id, fp, component_id) per row of ``docs``."""
-    scratch = Scratch(docs.sparkSession, "simhash")
-    marked = scratch.keep(fingerprints(docs, k, text, key), "fingerprints")
+def components(marked: DataFrame, scratch: Scratch, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
+    """The rows of ``marked`` (with ``fp`` and ``doc_id``) and their component's ``root`` and smallest id."""
     classes = scratch.keep(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
     found = connected_components(links(classes.select("fp"), scratch, radius, tile=tile), scratch)
     joined = classes.join(found.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = joined.groupBy("root").agg(F.min("least").alias("component_id"))
-    of_class = joined.select("fp", "root").join(least, "root").select("fp", "component_id")
-    return marked.join(of_class, "fp").select("doc_id", "fp", "component_id")
+    return marked.join(joined.select("fp", "root").join(least, "root"), "fp")
+
+
+def near_duplicates(docs: DataFrame, k: int = 4, radius: int = RADIUS, text: str = "text", key: str = "doc_id", tile: int = TILE) -> DataFrame:
+    """(doc_id, fp, component_id) per row of ``docs``."""
+    scratch = Scratch(docs.sparkSession, "simhash")
+    marked = scratch.keep(fingerprints(docs, k, text, key), "fingerprints")
+    return components(marked, scratch, radius, tile).select("doc_id", "fp", "component_id")
+
+
+ROW = "__tracelake_row"
+
+
+def keep_one(docs: DataFrame, k: int = 5, radius: int = RADIUS, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """``docs`` with one row of each component: that with the smallest id (null last), of equals the one whose text
+    has the smaller hash, of rows that repeat wholly any one. All columns stay."""
+    scratch = Scratch(docs.sparkSession, "simhash")
+    row = F.xxhash64(F.col(key).cast("long"), F.col(text))
+    marked = fingerprints(docs.select(F.col(key), F.col(text)), k, text, key, row_key=True)
+    rows = components(scratch.keep(marked, "fingerprints"), scratch, radius)
+    first = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("x")).select(F.col("x.row").alias(ROW))
+    return docs.withColumn(ROW, row).join(first, ROW, "left_semi").dropDuplicates([ROW]).drop(ROW)
 
 
 def shown(rows: DataFrame) -> DataFrame:
