@@ -44,7 +44,7 @@ RUN_BYTES = 4_000_000
 LONGEST_PIECE = 32_767
 NULL_ID = -(1 << 63)
 RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
-PIECES = "bucket int, blob binary"
+BLOBS = "bucket int, blob binary"
 SPANS = "row long, spans binary"
 
 
@@ -123,32 +123,40 @@ def _unpack(blob: bytes, kinds: list[str]) -> list[np.ndarray]:
 KINDS = ["<i8", "<i8", "<u4", "<u4", "<u4", "<u2", "<u4", "<u2"]
 
 
-def _runs(row: np.ndarray, place: np.ndarray) -> Iterator[tuple[int, bytes]]:
-    """Spans of consecutive edges per row, as (start, length) pairs."""
+def _runs(row: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, start, length) of the spans that consecutive edges of a row make."""
     order = np.lexsort((place, row))
     row, place = row[order], place[order]
-    keep = np.ones(len(row), bool)
-    keep[1:] = (row[1:] != row[:-1]) | (place[1:] != place[:-1])
-    row, place = row[keep], place[keep]
     new = np.ones(len(row), bool)
-    new[1:] = (row[1:] != row[:-1]) | (place[1:] != place[:-1] + 1)
+    new[1:] = (row[1:] != row[:-1]) | (place[1:] > place[:-1] + 1)
     at = np.flatnonzero(new)
-    length = np.diff(np.append(at, len(row)))
-    rows, starts = row[at], place[at]
-    cut = np.flatnonzero(np.append(True, rows[1:] != rows[:-1])) if len(rows) else np.zeros(0, np.int64)
-    for a, b in zip(cut.tolist(), np.append(cut[1:], len(rows)).tolist()):
-        yield int(rows[a]), np.stack([starts[a:b], length[a:b]], 1).astype("<u4").tobytes()
+    last = np.append(at[1:], len(row)) - 1
+    return row[at], place[at], place[last] - place[at] + 1 if len(at) else place[at]
 
 
-def _spans_batch(found: Iterator[tuple[int, bytes]]) -> pa.RecordBatch | None:
-    rows = list(found)
-    return pa.RecordBatch.from_arrays([pa.array([r for r, _ in rows], pa.int64()), pa.array([s for _, s in rows], pa.binary())], ["row", "spans"]) if rows else None
+def _pack_spans(spans: tuple[np.ndarray, np.ndarray, np.ndarray]) -> bytes:
+    row, start, length = spans
+    return _pack([row.astype("<i8"), start.astype("<u4"), length.astype("<u4")])
 
 
-def repeated_spans(docs: DataFrame, scratch: Scratch, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
-    """(row, spans): for each row key, packed (first edge, number of edges) pairs of edges that occur earlier.
+SPAN_KINDS = ["<i8", "<u4", "<u4"]
+
+
+def _by_bucket(bucket: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(bucket, members) in order."""
+    order = np.argsort(bucket, kind="stable")
+    cuts = np.flatnonzero(np.append(True, np.diff(bucket[order]) != 0)) if len(order) else np.zeros(0, np.int64)
+    for a, b in zip(cuts.tolist(), np.append(cuts[1:], len(order)).tolist()):
+        yield int(bucket[order[a]]), order[a:b]
+
 
-    A row key can have several rows, one per partition that found some of its edges.
+def _blob_batch(blobs: list[tuple[int, bytes]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([k for k, _ in blobs], pa.int32()), pa.array([x for _, x in blobs], pa.binary())], ["bucket", "blob"])
+
+
+def repeated_spans(docs: DataFrame, scratch: Scratch, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
+    """(row, spans): one row per row key that has any: packed (first edge, number of edges) pairs of edges that occur
+    earlier. Between the steps rows are blobs, one per task and bucket, so that their number follows the tasks.
     """
     spark = docs.sparkSession
     buckets = parts_for(input_bytes(docs), 6 << 20, least=int(spark.conf.get("spark.sql.shuffle.partitions")))
@@ -174,39 +182,38 @@ def repeated_spans(docs: DataFrame, scratch: Scratch, window: int = WINDOW, anch
         settled = (_later(order, same, ids[doc], place)) & (count <= window)
         at = np.flatnonzero(settled)
         piece, edge = _expand(first[at], count[at])
-        home = _spans_batch(_runs(row[doc[at][piece]], edge - tokens.first[doc[at]][piece]))
-        rows, blobs = [], []
-        if home is not None:
-            rows.append(pa.RecordBatch.from_arrays([pa.array(np.full(home.num_rows, -1, np.int32)), home.column(0), home.column(1)], ["bucket", "row", "blob"]))
+        blobs = []
+        if len(at):  # a negative bucket marks spans that are found already; any partition may pass them on
+            home = _runs(row[doc[at][piece]], edge - tokens.first[doc[at]][piece])
+            blobs.append((-1 - int(minimizer[0] % U64(buckets)), _pack_spans(home)))
         at = np.flatnonzero(~settled)
-        bucket = (minimizer[at] % U64(buckets)).astype(np.int64)
-        by = np.argsort(bucket, kind="stable")
-        at, bucket = at[by], bucket[by]
-        cuts = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
-        for a, b in zip(cuts.tolist(), np.append(cuts[1:], len(at)).tolist()):
-            own = at[a:b]
+        for bucket, members in _by_bucket((minimizer[at] % U64(buckets)).astype(np.int64)):
+            own = at[members]
             named, local = np.unique(doc[own], return_inverse=True)
             _, edge = _expand(first[own], count[own])
             h = edges[edge]
-            blobs.append(_pack([
+            blobs.append((bucket, _pack([
                 row[named].astype("<i8"), ids[named].astype("<i8"), (minimizer[own] >> U64(32)).astype("<u4"), local.astype("<u4"), place[own].astype("<u4"),
-                (count[own] + (loops[own] << 15)).astype("<u2"), (h >> U64(32)).astype("<u4"), (h & U64(0xFFFF)).astype("<u2"),
-            ]))
-        rows.append(pa.RecordBatch.from_arrays([pa.array(bucket[cuts].astype(np.int32)), pa.nulls(len(blobs), pa.int64()), pa.array(blobs, pa.binary())], ["bucket", "row", "blob"]))
-        yield from rows
+                (count[own] + (loops[own].astype(np.int64) << 15)).astype("<u2"), (h >> U64(32)).astype("<u4"), (h & U64(0xFFFF)).astype("<u2"),
+            ])))
+        yield _blob_batch(blobs)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blobs = []
+        blobs, found = [], []
         for batch in batches:
-            for bucket, row, blob in zip(*(column(batch, c).to_pylist() for c in ("bucket", "row", "blob"))):
+            for bucket, blob in zip(column(batch, "bucket").to_pylist(), column(batch, "blob").to_pylist()):
                 if bucket < 0:
-                    yield pa.RecordBatch.from_arrays([pa.array([row], pa.int64()), pa.array([blob], pa.binary())], ["row", "spans"])
+                    found.append(_unpack(blob, SPAN_KINDS))
                 else:
                     blobs.append(blob)
-        if not blobs:
-            return
+        if blobs:
+            found.append(compare(blobs))
+        if found:
+            row, start, length = (np.concatenate(x) for x in zip(*found))
+            yield _blob_batch([(k, _pack_spans((row[own], start[own], length[own]))) for k, own in _by_bucket(row % buckets)])
+
+    def compare(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         lists = [_unpack(b, KINDS) for b in blobs]
-        del blobs
         shift = np.cumsum([0, *(len(x[0]) for x in lists)])
         rows, ids, minimizer, local, place, count, high, low = (np.concatenate(x) for x in zip(*lists))
         doc = local.astype(np.int64) + np.repeat(shift[:-1], [len(x[3]) for x in lists])
@@ -226,15 +233,23 @@ def repeated_spans(docs: DataFrame, scratch: Scratch, window: int = WINDOW, anch
         anchor_of = minimizer[piece[order]]
         same = np.append(False, (ordered[1:] == ordered[:-1]) & (anchor_of[1:] == anchor_of[:-1])) if len(order) else np.zeros(0, bool)
         later = np.flatnonzero(_later(order, same, owner, spot))
-        out = _spans_batch(_runs(rows[doc[piece[later]]], spot[later]))
-        if out is not None:
-            yield out
+        return _runs(rows[doc[piece[later]]], spot[later])
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lists = [_unpack(blob, SPAN_KINDS) for batch in batches for blob in column(batch, "blob").to_pylist()]
+        if not lists:
+            return
+        row, start, length = (np.concatenate(x) for x in zip(*lists))
+        order = np.lexsort((start, row))
+        row, spans = row[order], np.stack([start[order], length[order]], 1).astype("<u4")
+        cuts = np.append(np.flatnonzero(np.append(True, row[1:] != row[:-1])), len(row)).tolist()
+        for at in range(0, len(cuts) - 1, 1000):
+            some = cuts[at : at + 1001]
+            yield pa.RecordBatch.from_arrays([pa.array(row[some[:-1]]), pa.array([spans[a:b].tobytes() for a, b in zip(some, some[1:])], pa.binary())], ["row", "spans"])
 
     named = keyed(docs).select("row", "id", "text")
-    cut_pieces = named.mapInArrow(cut, "bucket int, row long, blob binary")
-    # settled spans (bucket -1) are dealt by their row so that they do not all go one way
-    dealt = cut_pieces.repartition(buckets, F.when(F.col("bucket") < 0, F.col("row")).otherwise(F.col("bucket").cast("long")))
-    return scratch.keep(dealt.mapInArrow(meet, SPANS), "spans")
+    met = named.mapInArrow(cut, BLOBS).repartition(buckets, F.when(F.col("bucket") < 0, -1 - F.col("bucket")).otherwise(F.col("bucket"))).mapInArrow(meet, BLOBS)
+    return scratch.keep(met.repartition(buckets, "bucket").mapInArrow(gather, SPANS), "spans")
 
 
 def keyed(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -243,13 +258,12 @@ def keyed(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame
     return docs.select(key_col.alias("doc_id"), F.coalesce(key_col, F.lit(NULL_ID)).alias("id"), F.xxhash64(key_col, F.col(text)).alias("row"), F.col(text).alias("text"))
 
 
-def removed_words(spans: list[bytes], n: int, window: int) -> np.ndarray:
+def removed_words(spans: bytes, n: int, window: int) -> np.ndarray:
     """Which of ``n`` words some span's edges cover."""
     edge = np.zeros(n + 1, np.int64)
-    for blob in spans:
-        at = np.frombuffer(blob, "<u4").reshape(-1, 2).astype(np.int64)
-        np.add.at(edge, at[:, 0], 1)
-        np.add.at(edge, at[:, 0] + at[:, 1] + window - 1, -1)
+    at = np.frombuffer(spans, "<u4").reshape(-1, 2).astype(np.int64)
+    np.add.at(edge, at[:, 0], 1)
+    np.add.at(edge, at[:, 0] + at[:, 1] + window - 1, -1)
     return np.cumsum(edge[:-1]) > 0
 
 
@@ -257,8 +271,6 @@ def _with_spans(docs: DataFrame, window: int, anchor: int) -> DataFrame:
     scratch = Scratch(docs.sparkSession, "substring")
     ship_package(docs.sparkSession)
     spans = repeated_spans(docs, scratch, window, anchor)
-    # at most one packed row per partition that found some: bounded by the document's own length
-    spans = spans.groupBy("row").agg(F.collect_list("spans").alias("spans"))
     return keyed(docs).join(spans, "row", "left")
 
 
@@ -276,7 +288,7 @@ def dedup(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFr
     return _with_spans(docs, window, anchor).select("doc_id", "text", "spans").mapInArrow(run, "doc_id long, text string, n_words long, n_removed long")
 
 
-def _cut(text: bytes, spans: list[bytes] | None, window: int) -> tuple[bytes, int, int]:
+def _cut(text: bytes, spans: bytes | None, window: int) -> tuple[bytes, int, int]:
     words = text.split()
     if not spans:
         return b" ".join(words), len(words), 0
