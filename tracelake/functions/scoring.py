@@ -51,8 +51,8 @@ def blank_to_null(value: Column) -> Column:
 
 
 def token_estimate(text: Column) -> Column:
-    """Three characters a token, at least one; none for an empty text."""
-    return F.when(F.length(text) == 0, 0).otherwise(F.greatest(F.lit(1), F.floor(F.length(text) / 3))).cast("long")
+    """Three characters a token, at least one; none for an empty or missing text."""
+    return F.when(F.coalesce(F.length(text), F.lit(0)) == 0, 0).otherwise(F.greatest(F.lit(1), F.floor(F.length(text) / 3))).cast("long")
 
 
 def exceeds_context(tokens: Column, limit: int = 200_000, share: float = 0.65) -> Column:

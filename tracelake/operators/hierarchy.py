@@ -1,7 +1,8 @@
 """Span trees: nearest marked ancestors, owners of tool calls, and pruning to failing paths.
 
-Each walk advances all spans one level per join, on (trace, parent), until none is left, and cuts its lineage as it
-goes; trees are shallow, so a handful of joins does it. A cap on the depth ends walks around a cycle.
+Nearest ancestors are found by pointer jumping: each round every open span takes over its pointer's pointer, so a
+tree of depth d takes log2(d) joins on (trace, span). Rounds are written out, which cuts the lineage. Spans on a cycle
+never resolve and have no ancestor.
 """
 
 from __future__ import annotations
@@ -11,6 +12,8 @@ from pyspark.sql import functions as F
 
 from tracelake.runtime import Scratch
 
+#: Rounds of pointer jumping (trees of a million levels), and levels that a walk upwards takes.
+MOST_ROUNDS = 20
 MOST_LEVELS = 64
 
 
@@ -18,19 +21,19 @@ def nearest_ancestor(spans: DataFrame, stop: Column, of: Column | None = None) -
     """(trace_id, span_id, ancestor): for spans where ``of`` holds, the nearest ancestor where ``stop`` holds, or null.
     ``spans`` has trace_id, span_id, parent_span_id."""
     scratch = Scratch(spans.sparkSession, "ancestors")
-    tree = spans.where("span_id is not null").select("trace_id", F.col("span_id").alias("node"), F.col("parent_span_id").alias("up"), F.coalesce(stop, F.lit(False)).alias("stops"))
-    start = spans.where(F.lit(True) if of is None else of).where("span_id is not null")
-    open_ = start.select("trace_id", "span_id", F.col("parent_span_id").alias("at"))
-    done = None
-    for _ in range(MOST_LEVELS):
-        step = open_.join(tree, (open_.at == tree.node) & (open_.trace_id == tree.trace_id), "left").select(open_.trace_id, "span_id", "at", "node", "up", "stops")
-        step = scratch.keep(step, "step")
-        ended = step.where("node is null or stops").select("trace_id", "span_id", F.when(F.col("stops"), F.col("node")).alias("ancestor"))
-        done = ended if done is None else done.unionByName(ended)
-        open_ = step.where("not stops").select("trace_id", "span_id", F.col("up").alias("at"))
-        if open_.isEmpty():
-            return done
-    return done.unionByName(open_.select("trace_id", "span_id", F.lit(None).cast(spans.schema["span_id"].dataType).alias("ancestor")))
+    kind = spans.schema["span_id"].dataType
+    tree = spans.where("span_id is not null").select("trace_id", "span_id", "parent_span_id", F.coalesce(stop, F.lit(False)).alias("stops"), F.coalesce(F.lit(True) if of is None else of, F.lit(False)).alias("asked"))
+    above = tree.select("trace_id", F.col("span_id").alias("parent_span_id"), F.col("stops").alias("parent_stops"))
+    now = tree.join(above, ["trace_id", "parent_span_id"], "left").select(
+        "trace_id", "span_id", "asked", F.when(~F.col("parent_stops"), F.col("parent_span_id")).alias("pointer"), F.when(F.col("parent_stops"), F.col("parent_span_id")).alias("ancestor")
+    )
+    now = scratch.keep(now, "round")  # a span is open while it has a pointer
+    for _ in range(MOST_ROUNDS):
+        if now.where("pointer is not null").isEmpty():
+            break
+        step = now.select("trace_id", F.col("span_id").alias("pointer"), F.col("pointer").alias("next"), F.col("ancestor").alias("found"))
+        now = scratch.keep(now.join(step, ["trace_id", "pointer"], "left").select("trace_id", "span_id", "asked", F.col("next").alias("pointer"), F.coalesce("ancestor", "found").alias("ancestor")), "round")
+    return now.where("asked").select("trace_id", "span_id", F.col("ancestor").cast(kind).alias("ancestor"))
 
 
 def bridge_parents(spans: DataFrame, kept: Column) -> DataFrame:
@@ -64,11 +67,11 @@ def failure_paths(spans: DataFrame, failing: DataFrame, most_below: int = 10) ->
     kept = seeds.select("trace_id", "span_id")
     up = seeds.select("trace_id", F.col("parent_span_id").alias("span_id")).where("span_id is not null").distinct()
     for _ in range(MOST_LEVELS):
-        found = scratch.keep(tree.join(up, ["trace_id", "span_id"]).select("trace_id", "span_id", "parent_span_id"), "up")
-        kept = kept.unionByName(found.select("trace_id", "span_id"))
-        up = found.select("trace_id", F.col("parent_span_id").alias("span_id")).where("span_id is not null").distinct()
+        found = scratch.keep(tree.join(up.join(kept, ["trace_id", "span_id"], "left_anti"), ["trace_id", "span_id"]).select("trace_id", "span_id", "parent_span_id"), "up")
         if found.isEmpty():
             break
+        kept = kept.unionByName(found.select("trace_id", "span_id"))
+        up = found.select("trace_id", F.col("parent_span_id").alias("span_id")).where("span_id is not null").distinct()
     below = None
     down = seeds.select("trace_id", F.col("span_id").alias("seed"), F.col("span_id").alias("at"))
     for depth in range(1, most_below + 1):  # the tenth descendant lies ten levels below at most
