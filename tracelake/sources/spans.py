@@ -23,8 +23,8 @@ def flat_spans(records: DataFrame, column: str = "record") -> DataFrame:
         F.get_json_object("item", "$.span_id").isNull() & F.get_json_object("item", "$.name").isNull() & F.get_json_object("item", "$.attributes").isNull(),
         F.flatten(F.map_values(F.from_json("item", "map<string,array<string>>")))), F.array("item"))
     spans = items.select("at", "i", F.posexplode_outer(inner).alias("j", "span")).where(F.startswith(F.col("span"), F.lit("{")))
-    place = F.row_number().over(Window.orderBy("at", "i", "j")) - 1
-    return spans.select(place.alias("span_pos"), F.parse_json("span").alias("span"))
+    # the steps above keep the rows' order, so identifiers that grow within and over partitions number them
+    return spans.select(F.monotonically_increasing_id().alias("span_pos"), F.parse_json("span").alias("span"))
 
 
 def dialect(scope: Column) -> Column:
