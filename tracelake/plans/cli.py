@@ -6,7 +6,7 @@ from __future__ import annotations
 import argparse
 import sys
 
-from tracelake.plans import registry
+from tracelake.plans import more, registry  # noqa: F401  both fill the registry
 from tracelake.runtime import local_session
 from tracelake.sources import store
 
