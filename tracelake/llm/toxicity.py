@@ -54,7 +54,7 @@ def _sets(texts: list[bytes]) -> list[np.ndarray]:
     out = []
     for t in texts:
         _, f = feature_rows(np.frombuffer(t, np.uint8), np.array([0, len(t)]))
-        out.append(np.unique(f))
+        out.append(np.unique(f).astype(np.int32))
     return out
 
 
@@ -63,8 +63,8 @@ class FTRL:
 
     def __init__(self, alpha: float = 0.2, beta: float = 1.0, l1: float = 8.0, l2: float = 0.5) -> None:
         self.alpha, self.beta, self.l1, self.l2 = alpha, beta, l1, l2
-        self.z = np.zeros(1 << BITS)
-        self.n = np.zeros(1 << BITS)
+        self.z = np.zeros(1 << BITS, np.float32)
+        self.n = np.zeros(1 << BITS, np.float32)
         self.z0 = self.n0 = 0.0
 
     def _weights(self, at: np.ndarray) -> np.ndarray:
@@ -137,10 +137,9 @@ def fit(sample: list[tuple[bytes, int]], prior: float | None = None, epochs: int
             model.learn(*train[i])
     at, weights, _ = model.sparse()
     out = ToxicityModel(at, weights, 0.0)
-    texts = [t for t, _ in rest]
-    data = np.frombuffer(b"".join(texts), np.uint8)
-    offsets = np.cumsum([0, *map(len, texts)])
-    x, y = out.sums(data, offsets), np.array([y for _, y in rest], float)
+    # one text at a time: the arrays of a text are many times its size, and all of this is the driver's memory
+    x = np.array([float(out.sums(np.frombuffer(t, np.uint8), np.array([0, len(t)]))[0]) for t, _ in rest])
+    y = np.array([y for _, y in rest], float)
     z = np.stack([x, np.ones_like(x)], 1)
     w, ridge = np.zeros(2), np.diag([1e-2, 1e-6])
     for _ in range(100):
