@@ -102,9 +102,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+#: Estimates from here on mean that the optimiser knows nothing of a plan's size.
+UNKNOWN_BYTES = 1 << 55
+
+
 def input_bytes(df: DataFrame) -> int:
-    """The optimiser's size estimate for a plan, used only to choose partition counts."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    """The optimiser's size estimate for a plan, used only to choose partition counts; 0 if it has none, so that the
+    session's own number of shuffle partitions holds."""
+    estimate = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return estimate if estimate < UNKNOWN_BYTES else 0
 
 
 def parts_for(n_bytes: int, per_part: int, least: int = 8, most: int = 200_000) -> int:
