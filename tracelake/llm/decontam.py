@@ -229,7 +229,7 @@ def match_by_shuffle(docs: DataFrame, windows: DataFrame, text: str = "text", ke
 
     keyed = rows.withColumn("doc_row", F.xxhash64("doc_id", "text"))
     grams = keyed.mapInArrow(spans, "doc_row long, shingle long, at long, k int")
-    parts = parts_for(input_bytes(docs) * 8, 32 << 20)
+    parts = parts_for(input_bytes(docs) * 8, 32 << 20, least=int(spark.conf.get("spark.sql.shuffle.partitions")))
     wins = windows.select(F.xxhash64("words").alias("win"), F.size("words").alias("size"), "words", "shingles", "item_id")
     by_shingle = wins.select("win", F.posexplode("shingles").alias("offset", "shingle"), F.least(F.lit(SHINGLE), "size").alias("k")).distinct()
     wanted = by_shingle.select("shingle", "k").distinct()
