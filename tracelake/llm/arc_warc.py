@@ -233,15 +233,18 @@ def parse_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
 
 def gunzip_members(data: bytes) -> Iterator[bytes]:
     """Each gzip member of a file, one at a time."""
-    view = memoryview(data)
-    while len(view):
-        d = zlib.decompressobj(31)
-        out = d.decompress(view) + d.flush()
-        if not d.eof:
-            raise ValueError("a gzip member is cut short")
-        if out:
-            yield out
-        view = memoryview(d.unused_data)
+    view, at = memoryview(data), 0
+    while at < len(view):
+        d, out = zlib.decompressobj(31), []
+        while not d.eof:
+            if at >= len(view):
+                raise ValueError("a gzip member is cut short")
+            step = view[at : at + 16_384]  # a short step, as the bytes after the member's end are handed back as a copy
+            out.append(d.decompress(step))
+            at += len(step)
+        at -= len(d.unused_data)
+        if whole := b"".join(out):
+            yield whole
 
 
 def choose_responses(records: DataFrame, least: int = MIN_REVISIT) -> DataFrame:
