@@ -4,9 +4,10 @@ import re
 from collections import Counter
 
 import numpy as np
+import pytest
 import xxhash
 
-from tracelake.llm import simhash, substring_dedup
+from tracelake.llm import similarity, simhash, substring_dedup
 from tracelake.llm.components import connected_components
 from tracelake.runtime import Scratch, table
 
@@ -158,8 +159,44 @@ def test_every_pair_shares_a_key():
             assert any(all((x >> b & 1) == (y >> b & 1) for b in bits) for _, bits in keys)
 
 
-def test_keep_one(odd):
-    kept = simhash.keep_one(odd)
+@pytest.mark.parametrize("keep", [simhash.keep_one, similarity.keep_one_similar])
+def test_keep_one(odd, none, keep):
+    kept = keep(odd)
     assert kept.columns == odd.columns
-    ids = [r.doc_id for r in kept.collect()]
-    assert len(ids) == len(set(ids)) and 5 in ids and 6 not in ids and 21 in ids and 0 in ids and 1 not in ids
+    rows = [(r.doc_id, r.text) for r in kept.collect()]
+    ids = {i for i, _ in rows}
+    assert len(rows) == len(set(rows)) and {0, 5, 10, 21} <= ids and not ids & {1, 2, 6, 12, 20, None}
+    assert keep(none).collect() == []
+
+
+def jaccard(a, b, k=5):
+    sets = []
+    for t in (a, b):
+        w = (t or "").lower().split()
+        sets.append({tuple(w[p : p + k]) for p in range(max(1, len(w) - k + 1))})
+    return len(sets[0] & sets[1]) / len(sets[0] | sets[1])
+
+
+@pytest.mark.parametrize("tile", [1024, 8])
+def test_similar_texts_go_and_others_stay(spark, tile):
+    """Copies with a changed word here and there: those well above the threshold go, those well below it stay."""
+    r = random.Random(11)
+    rows = []
+    for base in range(30):
+        own = [f"w{r.randrange(3000)}" for _ in range(300)]
+        for changes in (0, 0, 2, 4, 30, 60):
+            copy = list(own)
+            for at in r.sample(range(300), changes):
+                copy[at] = f"x{r.randrange(10**9)}"
+            rows.append((len(rows), " ".join(copy)))
+    kept = {x.doc_id for x in similarity.keep_one_similar(spark.createDataFrame(rows, "doc_id long, text string"), tile=tile).collect()}
+    for i, t in rows:
+        near = max([jaccard(t, u) for j, u in rows[i // 6 * 6 : i]], default=0)
+        assert (i in kept) or near >= 0.7, (i, near)
+        assert (i not in kept) or near <= 0.9, (i, near)
+
+
+def test_plan_reaches_its_recall():
+    for n in (10, 10**6, 10**9, 10**12):
+        bits, blocks = similarity.plan(n)
+        assert 1 - (1 - (1 - similarity.bit_share(0.8)) ** bits) ** blocks >= 0.95 and (1 << bits) >= min(n, 1 << 44)
