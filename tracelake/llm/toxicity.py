@@ -31,7 +31,7 @@ from tracelake.runtime import ship_package
 
 BITS = 22
 SAMPLE_ROWS = 4000
-EPOCHS = 4
+EPOCHS = 5
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int"
 
 
@@ -61,7 +61,7 @@ def _sets(texts: list[bytes]) -> list[np.ndarray]:
 class FTRL:
     """Per-coordinate proximal follow-the-regularised-leader for logistic loss."""
 
-    def __init__(self, alpha: float = 0.2, beta: float = 1.0, l1: float = 8.0, l2: float = 0.5) -> None:
+    def __init__(self, alpha: float = 0.2, beta: float = 1.0, l1: float = 14.0, l2: float = 0.5) -> None:
         self.alpha, self.beta, self.l1, self.l2 = alpha, beta, l1, l2
         self.z = np.zeros(1 << BITS, np.float32)
         self.n = np.zeros(1 << BITS, np.float32)
