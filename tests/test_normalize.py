@@ -67,7 +67,7 @@ def test_shapes_and_dialects(spark):
     assert [json.loads(r.s)["span_id"] for r in spans.flat_spans(df).orderBy("span_pos").select(F.to_json("span").alias("s")).collect()] == ["a", "b", "c", "d"]
     rows = [("a", 0, "other", False, None), ("a", 1, "gcp.vertex.agent", False, None), ("b", 0, "other", True, "chat"), ("c", 0, "other", False, "chat"), ("d", 0, None, False, None)]
     df = spark.createDataFrame(rows, "session string, span_pos int, scope string, has_body boolean, operation string")
-    assert dict(map(tuple, spans.choose_dialect(df, "session").collect())) == {"a": "adk", "b": "cloudwatch", "c": "genai", "d": "in_memory"}
+    assert dict(map(tuple, spans.choose_dialect(df, "session").collect())) == {"a": "adk", "b": "log_body", "c": "genai", "d": "in_memory"}
 
 
 def test_result_blocks(spark):

@@ -119,7 +119,7 @@ def normalized_spans(spark, sf_dir):
 
 @register(
     """select user_id as session, case when bool_or(event_type in ('view', 'click')) then arg_min(case event_type when 'view' then 'adk' when 'click' then 'genai' end, event_id) filter (where event_type in ('view', 'click'))
-    when bool_or(event_type = 'error') then 'cloudwatch' when bool_or(event_type = 'purchase') then 'genai' else 'in_memory' end as dialect from events group by user_id"""
+    when bool_or(event_type = 'error') then 'log_body' when bool_or(event_type = 'purchase') then 'genai' else 'in_memory' end as dialect from events group by user_id"""
 )
 def dialect_choice(spark, sf_dir):
     t = F.col("event_type")

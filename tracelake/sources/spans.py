@@ -41,7 +41,7 @@ def choose_dialect(spans: DataFrame, session: str) -> DataFrame:
     found = spans.groupBy(session).agg(
         F.min_by(known, F.when(known.isNotNull(), F.col("span_pos"))).alias("first"), F.bool_or("has_body").alias("body"), F.bool_or(F.col("operation").isNotNull()).alias("op")
     )
-    return found.select(session, F.coalesce("first", F.when(F.col("body"), "cloudwatch").when(F.col("op"), "genai").otherwise("in_memory")).alias("dialect"))
+    return found.select(session, F.coalesce("first", F.when(F.col("body"), "log_body").when(F.col("op"), "genai").otherwise("in_memory")).alias("dialect"))
 
 
 def filter_session(spans: DataFrame, trace: str, tag: str, session: str) -> DataFrame:
