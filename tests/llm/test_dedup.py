@@ -200,3 +200,37 @@ def test_plan_reaches_its_recall():
     for n in (10, 10**6, 10**9, 10**12):
         bits, blocks = similarity.plan(n)
         assert 1 - (1 - (1 - similarity.bit_share(0.8)) ** bits) ** blocks >= 0.95 and (1 << bits) >= min(n, 1 << 44)
+
+
+def kept_ids(spark, rows):
+    return {x.doc_id for x in similarity.keep_one_similar(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+
+
+def test_similarity_is_exact_at_the_threshold(spark):
+    """Pairs at and just above 0.8 all go, pairs just below it all stay; texts of 8 words and of hundreds."""
+    r = random.Random(17)
+    rows, gone = [], set()
+    for pair in range(400):
+        n = (8, 10, 24, 104, 404)[pair % 5]
+        own = [f"w{r.randrange(10**9)}" for _ in range(n)]
+        shingles = n - 4
+        # cut from the front: of s shingles s - c stay, which is the similarity; 0.8 and the next one below
+        cut = shingles // 5 + (pair // 5) % 2
+        if n == 8:  # 4 of 5 shingles, and 4 of 6
+            other, own = own, own + [f"x{r.randrange(10**9)}" for _ in range(1 + (pair // 5) % 2)]
+        else:
+            other = own[cut:]
+        rows += [(2 * pair, " ".join(own)), (2 * pair + 1, " ".join(other))]
+        if jaccard(rows[-2][1], rows[-1][1]) >= 0.8:
+            gone.add(2 * pair + 1)
+    assert 150 < len(gone) < 250
+    assert kept_ids(spark, rows) == {i for i, _ in rows} - gone
+
+
+def test_candidates_chain_but_only_similar_texts_are_joined(spark):
+    """Windows that slide over one long text are all candidates of their neighbours, none at 0.8."""
+    r = random.Random(19)
+    long = [f"w{r.randrange(10**9)}" for _ in range(3000)]
+    rows = [(i, " ".join(long[at : at + 104])) for i, at in enumerate(range(0, 2800, 14))]
+    assert max(jaccard(a[1], b[1]) for a, b in zip(rows, rows[1:])) < 0.8
+    assert kept_ids(spark, rows) == {i for i, _ in rows}
