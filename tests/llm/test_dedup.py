@@ -234,3 +234,17 @@ def test_candidates_chain_but_only_similar_texts_are_joined(spark):
     rows = [(i, " ".join(long[at : at + 104])) for i, at in enumerate(range(0, 2800, 14))]
     assert max(jaccard(a[1], b[1]) for a, b in zip(rows, rows[1:])) < 0.8
     assert kept_ids(spark, rows) == {i for i, _ in rows}
+
+
+def test_decisions_do_not_follow_the_size(monkeypatch, spark):
+    """Pairs around 0.8 are decided alike in a corpus of this size and of one two million times as large."""
+    r = random.Random(23)
+    rows = []
+    for pair in range(150):
+        own = [f"w{r.randrange(10**9)}" for _ in range(204)]
+        cut = 34 + pair % 13
+        rows += [(2 * pair, " ".join(own)), (2 * pair + 1, " ".join(own[cut:]))]
+    small = kept_ids(spark, rows)
+    sized = similarity.plan
+    monkeypatch.setattr(similarity, "plan", lambda n, *more: sized(n << 21, *more))
+    assert kept_ids(spark, rows) == small == {i for i, t in rows if i % 2 == 0 or jaccard(t, rows[i - 1][1]) < 0.8}
