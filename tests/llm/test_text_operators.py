@@ -165,6 +165,17 @@ def test_decontamination_of_nothing(spark, odd, none, most):
     assert not any(r.contaminated for r in decontam.find_contamination(odd, empty, most=most).collect())
 
 
+@pytest.mark.parametrize("most", [1_000_000, 0])
+def test_contaminated_rows_go_by_row_not_by_id(spark, most):
+    """Null and repeated ids: only the rows that hold the passage go, both ways."""
+    passage = " ".join(f"p{i}" for i in range(10))
+    rows = [(1, "clean one"), (1, f"x {passage} y"), (2, passage), (3, "clean"), (3, "clean"), (None, f"{passage} z"), (None, "clean too"), (None, None), (4, f"a {passage}"), (4, f"a {passage}")]
+    docs = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "doc_id long, text string, n int")
+    kept = decontam.drop_contaminated(docs, spark.createDataFrame([(7, passage)], "item_id long, text string"), most=most)
+    assert kept.columns == docs.columns
+    assert sorted(r.n for r in kept.collect()) == [0, 3, 4, 6, 7]
+
+
 def test_scratch_tables_can_be_dropped(spark):
     scratch = Scratch(spark, "test")
     kept = scratch.keep(spark.range(3), "x")

@@ -26,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracelake.llm.common import LOWER, WORD_LETTERS, Tokens, column, mix, pieces
@@ -145,6 +145,11 @@ def _rows(docs: DataFrame, text: str, key: str) -> DataFrame:
     return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
 
 
+def _row_hash(text: str, key: str) -> Column:
+    """Tells rows apart by id and text, also those whose id is null or repeated."""
+    return F.xxhash64(F.col(key).cast("long"), F.col(text))
+
+
 def shingle_counts(docs: DataFrame, wanted: np.ndarray, text: str = "text") -> DataFrame:
     """(shingle, n): how often each wanted shingle occurs over all documents; each task sends its sums only."""
     sc = docs.sparkSession.sparkContext
@@ -204,8 +209,9 @@ def match_by_broadcast(docs: DataFrame, index: WindowIndex, text: str = "text",
     return _rows(docs, text, key).mapInArrow(run, SCHEMA)
 
 
-def match_by_shuffle(docs: DataFrame, windows: DataFrame, text: str = "text", key: str = "doc_id", window: int = WINDOW) -> DataFrame:
-    """The same rows for a benchmark of any size: nothing of it is broadcast or collected.
+def match_by_shuffle(docs: DataFrame, windows: DataFrame, text: str = "text", key: str = "doc_id", window: int = WINDOW, row_key: bool = False) -> DataFrame:
+    """The same rows for a benchmark of any size: nothing of it is broadcast or collected. With ``row_key`` also
+    ``doc_row``, the hash of id and text (see ``_row_hash``).
 
     Shingle rarity, prefixes and candidates are all joins on the shingle. Documents send, for each shingle, the hashes
     of the spans that could be a window around it, so that verification needs no text.
@@ -227,7 +233,7 @@ def match_by_shuffle(docs: DataFrame, windows: DataFrame, text: str = "text", ke
                         ["doc_row", "shingle", "at", "k"],
                     )
 
-    keyed = rows.withColumn("doc_row", F.xxhash64("doc_id", "text"))
+    keyed = rows.withColumn("doc_row", _row_hash("text", "doc_id"))
     grams = keyed.mapInArrow(spans, "doc_row long, shingle long, at long, k int")
     parts = parts_for(input_bytes(docs) * 8, 32 << 20, least=int(spark.conf.get("spark.sql.shuffle.partitions")))
     wins = windows.select(F.xxhash64("words").alias("win"), F.size("words").alias("size"), "words", "shingles", "item_id")
@@ -264,6 +270,7 @@ def match_by_shuffle(docs: DataFrame, windows: DataFrame, text: str = "text", ke
     return out.select(
         "doc_id", "n_words", n_hit.alias("n_hit"), F.when(F.col("items").isNull(), 0).otherwise(F.size("items")).cast("long").alias("n_items"),
         F.sha2(F.coalesce(F.array_join("items", ","), F.lit("")), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"),
+        *(["doc_row"] if row_key else []),
     )
 
 
@@ -296,7 +303,6 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, text: str = "text", mos
 
         return docs.mapInArrow(run, docs.schema)
     mark = "__tracelake_row"
-    keyed = docs.withColumn(mark, F.xxhash64("doc_id", text))
-    found = match_by_shuffle(docs.select("doc_id", text), windows, text)
-    dirty = keyed.select(mark, "doc_id").join(found.where("contaminated").select("doc_id").distinct(), "doc_id", "left_semi").select(mark).distinct()
-    return keyed.join(dirty, mark, "left_anti").drop(mark)
+    found = match_by_shuffle(docs.select("doc_id", text), windows, text, row_key=True)
+    dirty = found.where("contaminated").select(F.col("doc_row").alias(mark)).distinct()
+    return docs.withColumn(mark, _row_hash(text, "doc_id")).join(dirty, mark, "left_anti").drop(mark)
