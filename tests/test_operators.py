@@ -61,6 +61,16 @@ def test_ownership(spark):
     assert kept == {("t", "5"), ("t", "1"), ("t", "6")}
 
 
+def test_failure_paths_reach_the_root_of_deep_trees(spark):
+    """A chain of 150 levels, one with an orphaned top, and a cycle."""
+    rows = [("deep", str(i), str(i - 1) if i else None, i) for i in range(150)] + [("deep", "aside", "3", 150)]
+    rows += [("orphan", str(i), str(i - 1), i) for i in range(1, 90)] + [("cycle", str(i), str((i + 1) % 5), i) for i in range(5)]
+    df = spark.createDataFrame(rows, "trace_id string, span_id string, parent_span_id string, span_pos long")
+    failing = df.where("(trace_id, span_id) in (('deep', '149'), ('orphan', '89'), ('cycle', '2'))")
+    kept = sorted((r.trace_id, r.span_id) for r in hierarchy.failure_paths(df, failing).collect())
+    assert kept == sorted([("deep", str(i)) for i in range(150)] + [("orphan", str(i)) for i in range(1, 90)] + [("cycle", str(i)) for i in range(5)])
+
+
 def test_prior_executions_break_ties_by_place(spark):
     calls = spark.createDataFrame([("s", 1, 0, 5), ("s", 2, 5, 5), ("s", 3, 5, 9), ("s", 4, 4, 2)], "k string, pos long, start long, end long")
     got = {r.pos: r.prior for r in history.prior_executions(calls, ["k"]).collect()}

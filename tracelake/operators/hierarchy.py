@@ -12,9 +12,8 @@ from pyspark.sql import functions as F
 
 from tracelake.runtime import Scratch
 
-#: Rounds of pointer jumping (trees of a million levels), and levels that a walk upwards takes.
+#: Rounds of pointer jumping (trees of a million levels).
 MOST_ROUNDS = 20
-MOST_LEVELS = 64
 
 
 def nearest_ancestor(spans: DataFrame, stop: Column, of: Column | None = None) -> DataFrame:
@@ -65,13 +64,17 @@ def failure_paths(spans: DataFrame, failing: DataFrame, most_below: int = 10) ->
     tree = spans.where("span_id is not null").select("trace_id", "span_id", "parent_span_id", "span_pos")
     seeds = tree.join(failing.select("trace_id", "span_id").distinct(), ["trace_id", "span_id"])
     kept = seeds.select("trace_id", "span_id")
-    up = seeds.select("trace_id", F.col("parent_span_id").alias("span_id")).where("span_id is not null").distinct()
-    for _ in range(MOST_LEVELS):
-        found = scratch.keep(tree.join(up.join(kept, ["trace_id", "span_id"], "left_anti"), ["trace_id", "span_id"]).select("trace_id", "span_id", "parent_span_id"), "up")
+    # pointers 1, 2, 4, ... levels up: a round without a new ancestor is the last one, on cycles as well
+    above = tree.select("trace_id", F.col("span_id").alias("parent_span_id"), F.col("span_id").alias("up"))
+    jump = tree.join(seeds.select("trace_id").distinct(), "trace_id", "left_semi").join(above, ["trace_id", "parent_span_id"]).select("trace_id", "span_id", "up").distinct()
+    while True:
+        found = kept.join(jump, ["trace_id", "span_id"]).select("trace_id", F.col("up").alias("span_id")).distinct()
+        found = scratch.keep(found.join(kept, ["trace_id", "span_id"], "left_anti"), "up")
         if found.isEmpty():
             break
-        kept = kept.unionByName(found.select("trace_id", "span_id"))
-        up = found.select("trace_id", F.col("parent_span_id").alias("span_id")).where("span_id is not null").distinct()
+        kept = kept.unionByName(found)
+        step = jump.select("trace_id", F.col("span_id").alias("up"), F.col("up").alias("next"))
+        jump = scratch.keep(jump.join(step, ["trace_id", "up"]).select("trace_id", "span_id", F.col("next").alias("up")).distinct(), "jump")
     below = None
     down = seeds.select("trace_id", F.col("span_id").alias("seed"), F.col("span_id").alias("at"))
     for depth in range(1, most_below + 1):  # the tenth descendant lies ten levels below at most
