@@ -36,6 +36,35 @@ def test_generic_spans(spark):
     assert got["a1"].end_time.year == 2024 and got["a1"].session_id == "s1"
 
 
+def test_bodies_of_later_events(spark):
+    """The first event whose body has input or output counts, wherever it stands; else the span's own body."""
+    body = lambda q, a: {"input": {"messages": [{"role": "user", "content": q}]}, "output": {"messages": [{"role": "assistant", "content": a}]}}
+    items = [span("invoke_agent", x, gen_ai__operation__name="invoke_agent") for x in ("a", "b", "c")]
+    items[0]["span_events"] = [{"body": {"other": 1}}, {"attributes": {}}, {"body": body("q", "r")}, {"body": body("late", "late")}]
+    items[1]["body"] = body("q2", "r2")
+    items[2]["span_events"] = []
+    out = normalize.normalize(raw(spark, items))
+    assert {r.span_id: (r.user_prompt, r.agent_response) for r in out.collect()} == {"a": ("q", "r"), "b": ("q2", "r2"), "c": (None, None)}
+    assert {r.span_id for r in normalize.accepted(out).collect()} == {"a", "b"}
+
+
+def test_messages_in_event_attributes(spark):
+    event = lambda name, **a: {"event_name": f"gen_ai.{name}", "attributes": a}
+    blocks = lambda *t: json.dumps([{"text": x} for x in t])
+    listed = lambda role, t: json.dumps([{"role": role, "parts": [{"type": "text", "content": t}]}])
+    details = event("client.inference.operation.details", **{"gen_ai.input.messages": listed("user", "dq"), "gen_ai.output.messages": listed("assistant", "dr")})
+    kinds = {"a": "invoke_agent", "b": "invoke_agent", "c": "chat", "x": "execute_tool"}
+    items = [span(k, i, gen_ai__operation__name=k, **({"gen_ai__tool__name": "t"} if i == "x" else {})) for i, k in kinds.items()]
+    items[0]["span_events"] = [event("system.message", content="s"), event("user.message", content=blocks("q")), event("choice", message="r")]
+    items[1]["span_events"] = [{"event_name": "other"}, details]
+    items[2]["span_events"] = [event("user.message", content=blocks("one", " two")), event("choice", message=blocks("three"))]
+    items[3]["span_events"] = [event("tool.message", content='{"k": 1}'), event("choice", message=blocks("found"))]
+    out = normalize.normalize(raw(spark, items))
+    got = {r.span_id: r for r in normalize.accepted(out).collect()}
+    assert {i: (got[i].user_prompt, got[i].agent_response) for i in got} == {"a": ("q", "r"), "b": ("dq", "dr"), "c": ("one two", "three"), "x": (None, None)}
+    assert (got["x"].tool_arguments, got["x"].tool_result) == ('{"k": 1}', "found")
+
+
 def test_flattened_messages(spark):
     items = [span("llm", "c", scope="openinference.instrumentation.langchain", openinference__span__kind="LLM", **{
         "llm__input_messages__0__message__role": "system", "llm__input_messages__0__message__content": "be kind", "llm__input_messages__1__message__role": "user", "llm__input_messages__1__message__content": "first",

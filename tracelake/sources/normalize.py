@@ -77,6 +77,40 @@ def indexed(raw: DataFrame, prefix: str, fields: tuple[str, ...] = ("role", "con
     return rows.where(f"{fields[0]} is not null").withColumn("__n", seen).where("__n = idx").drop("__n")
 
 
+def _body_messages(events: Column, side: str) -> Column:
+    """Messages of the first event whose body has an input or an output, else of the span's own body."""
+    part = lambda e, p, kind="variant": F.try_variant_get(e, p, kind)
+    body = F.try_element_at(F.filter(events, lambda e: part(e, "$.body.input").isNotNull() | part(e, "$.body.output").isNotNull()), F.lit(1))
+    return F.to_json(F.coalesce(part(body, f"$.body.{side}.messages"), F.when(body.isNull(), _get(f"$.body.{side}.messages", "variant"))))
+
+
+def _event_value(events: Column, event: str, field: str, shown=lambda c: c) -> Column:
+    """An attribute of the last event of a name that has it."""
+    get = lambda e, p: F.try_variant_get(e, p, "string")
+    own = F.filter(events, lambda e: F.coalesce(get(e, "$.event_name"), get(e, "$.name")) == event)
+    return F.try_element_at(F.filter(F.transform(own, lambda e: blank_to_null(shown(get(e, f"$.attributes['{field}']")))), lambda t: t.isNotNull()), F.lit(-1))
+
+
+def _blocks_text(raw: Column) -> Column:
+    """The texts of a JSON list of content blocks, or the text itself if it is no list."""
+    blocks = F.from_json(raw, "array<struct<text:string>>")
+    return F.when(F.startswith(F.ltrim(raw), F.lit("[")), F.array_join(F.transform(blocks, lambda b: F.coalesce(b["text"], F.lit(""))), "")).otherwise(raw)
+
+
+def _event_told(events: Column) -> Column:
+    details = _event_value(events, "gen_ai.client.inference.operation.details", "gen_ai.input.messages")
+    return F.coalesce(_event_value(events, "gen_ai.user.message", "content", _blocks_text), _last_text(details, "user|human", first=True))
+
+
+def _event_answer(events: Column) -> Column:
+    """The last choice (an agent's as it stands, like the reference's), else an inference's last assistant message, else
+    the first answer in the details."""
+    details = _event_value(events, "gen_ai.client.inference.operation.details", "gen_ai.output.messages")
+    choice = F.when(F.col("span_type") == "invoke_agent", _event_value(events, "gen_ai.choice", "message")).otherwise(_event_value(events, "gen_ai.choice", "message", _blocks_text))
+    said = F.when(F.col("span_type") == "inference", _event_value(events, "gen_ai.assistant.message", "content", _blocks_text))
+    return F.coalesce(choice, said, _last_text(details, "assistant|model", first=True))
+
+
 def normalize(raw: DataFrame) -> DataFrame:
     """Spans of any dialect: the shared fields, ``span_type``, ``dialect``, and the parts that the type has."""
     b = base(raw)
@@ -87,20 +121,23 @@ def normalize(raw: DataFrame) -> DataFrame:
     older = indexed(raw, "gen_ai.prompt").where("role = 'user'").groupBy("span_pos").agg(F.max_by("content", "idx").alias("old_prompt"))
     spans = spans.join(prompts, "span_pos", "left").join(answers, "span_pos", "left").join(older, "span_pos", "left")
     inputs, outputs = attribute_any("gen_ai.input.messages", "input.value"), attribute_any("gen_ai.output.messages", "output.value")
-    event_in = F.to_json(_get("$.span_events[0].body.input.messages", "variant"))
-    event_out = F.to_json(_get("$.span_events[0].body.output.messages", "variant"))
+    events = F.try_variant_get("span", "$.span_events", "array<variant>")
+    event_in, event_out = _body_messages(events, "input"), _body_messages(events, "output")
+    told, answer = _event_told(events), _event_answer(events)
     failed = F.upper("status") == "ERROR"
     error = F.coalesce(attribute_any("error.type"), F.when(failed, F.coalesce(blank_to_null(F.col("status_text")), F.lit("ERROR"))), F.when(
         ~F.lower(F.coalesce(attribute("gen_ai.tool.status"), F.lit("success"))).isin("success", "ok"), attribute("gen_ai.tool.status")))
     is_tool = F.col("span_type") == "execute_tool"
+    tool = F.coalesce(is_tool, F.lit(False))
+    called = F.coalesce(_event_value(events, "gen_ai.tool.message", "content"), F.when(F.startswith(told, F.lit("{")), told))
     return spans.select(
         *BASE, "span_type", "dialect",
-        F.coalesce(blank_to_null(F.col("flat_prompt")), blank_to_null(F.col("old_prompt")), _last_text(inputs, "user|human"), _last_text(event_in, "user|human"), F.when(~F.startswith(inputs, F.lit("[")), inputs)).alias("user_prompt"),
-        F.coalesce(blank_to_null(F.col("flat_response")), _last_text(outputs), _last_text(event_out), F.when(~F.startswith(outputs, F.lit("[")), outputs), F.when(failed, F.col("status_text"))).alias("agent_response"),
+        F.coalesce(blank_to_null(F.col("flat_prompt")), blank_to_null(F.col("old_prompt")), F.when(~tool, told), _last_text(inputs, "user|human"), _last_text(event_in, "user|human"), F.when(~F.startswith(inputs, F.lit("[")), inputs)).alias("user_prompt"),
+        F.coalesce(blank_to_null(F.col("flat_response")), F.when(~tool, answer), _last_text(outputs), _last_text(event_out), F.when(~F.startswith(outputs, F.lit("[")), outputs), F.when(failed, F.col("status_text"))).alias("agent_response"),
         attribute_any("gen_ai.system_instructions", "system_prompt").alias("system_prompt"),
         F.when(is_tool, F.coalesce(attribute_any("gen_ai.tool.name", "tool.name"), F.col("name"))).alias("tool_name"),
-        F.when(is_tool, F.coalesce(attribute_any("gen_ai.tool.call.arguments", "input.value"), F.to_json(attribute("gen_ai.tool.call.arguments", "variant")))).alias("tool_arguments"),
-        F.when(is_tool, F.coalesce(attribute_any("gen_ai.tool.call.result", "output.value"), F.to_json(attribute("gen_ai.tool.call.result", "variant")))).alias("tool_result"),
+        F.when(is_tool, F.coalesce(called, attribute_any("gen_ai.tool.call.arguments", "input.value"), F.to_json(attribute("gen_ai.tool.call.arguments", "variant")))).alias("tool_arguments"),
+        F.when(is_tool, F.coalesce(answer, attribute_any("gen_ai.tool.call.result", "output.value"), F.to_json(attribute("gen_ai.tool.call.result", "variant")))).alias("tool_result"),
         F.when(is_tool, attribute_any("gen_ai.tool.call.id")).alias("tool_call_id"), F.when(is_tool, error).alias("tool_error"),
         attribute_any("gen_ai.tool.definitions", "llm.tools").alias("tool_definitions"),
     )
