@@ -89,3 +89,13 @@ def test_streams(spark, tmp_path):
     query.stop()
     assert all(r.n <= 2 for r in spark.sql("select * from recent_calls_test").collect())
     assert sessions.windowed_metrics(df).count() == 5
+
+
+def test_case_prompts_hold_whole_texts(spark):
+    from tracelake.plans import more
+    from tracelake.runtime import table
+
+    sf = "/root/testdata/sf0.001"
+    texts = {r.doc_id: r.text for r in table(spark, sf, "documents").where("text is not null").collect()}
+    prompts = {r.doc_id: r.prompt for r in more.case_prompts_whole(spark, sf).collect()}
+    assert max(map(len, texts.values())) > 1000 and all(f"<Output>{t}</Output>" in prompts[i] for i, t in texts.items())

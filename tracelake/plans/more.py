@@ -34,6 +34,13 @@ def case_prompts(spark, sf_dir):
     return d.select("doc_id", judging.case_prompt(include_input=False).alias("prompt"))
 
 
+@register("select doc_id, '<Output>' || text || '</Output>' || chr(10) || case when lang = 'en' then '<ExpectedOutput>' || source || '</ExpectedOutput>' || chr(10) else '' end || '<ExpectedAssertion>' || lang || '</ExpectedAssertion>' as prompt from documents")
+def case_prompts_whole(spark, sf_dir):
+    """``case_prompts`` over whole texts."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("actual_output"), F.when(F.col("lang") == "en", F.col("source")).alias("expected_output"), F.col("lang").alias("expected_assertion"))
+    return d.select("doc_id", judging.case_prompt(include_input=False).alias("prompt"))
+
+
 def conversation_spans(spark, sf_dir):
     """Turns as normalized spans: a user message and the answer after it are one agent span in a trace of its own."""
     m = A.messages(spark, sf_dir)
