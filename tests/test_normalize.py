@@ -56,7 +56,7 @@ def test_messages_in_event_attributes(spark):
     kinds = {"a": "invoke_agent", "b": "invoke_agent", "c": "chat", "x": "execute_tool"}
     items = [span(k, i, gen_ai__operation__name=k, **({"gen_ai__tool__name": "t"} if i == "x" else {})) for i, k in kinds.items()]
     items[0]["span_events"] = [event("system.message", content="s"), event("user.message", content=blocks("q")), event("choice", message="r")]
-    items[1]["span_events"] = [{"event_name": "other"}, details]
+    items[1]["span_events"] = [{"event_name": "other"}, details, event("client.inference.operation.details", **{"gen_ai.input.messages": listed("user", "later")})]
     items[2]["span_events"] = [event("user.message", content=blocks("one", " two")), event("choice", message=blocks("three"))]
     items[3]["span_events"] = [event("tool.message", content='{"k": 1}'), event("choice", message=blocks("found"))]
     out = normalize.normalize(raw(spark, items))

@@ -84,11 +84,11 @@ def _body_messages(events: Column, side: str) -> Column:
     return F.to_json(F.coalesce(part(body, f"$.body.{side}.messages"), F.when(body.isNull(), _get(f"$.body.{side}.messages", "variant"))))
 
 
-def _event_value(events: Column, event: str, field: str, shown=lambda c: c) -> Column:
-    """An attribute of the last event of a name that has it."""
+def _event_value(events: Column, event: str, field: str, shown=lambda c: c, place: int = -1) -> Column:
+    """An attribute of the last (or first) event of a name that has it."""
     get = lambda e, p: F.try_variant_get(e, p, "string")
     own = F.filter(events, lambda e: F.coalesce(get(e, "$.event_name"), get(e, "$.name")) == event)
-    return F.try_element_at(F.filter(F.transform(own, lambda e: blank_to_null(shown(get(e, f"$.attributes['{field}']")))), lambda t: t.isNotNull()), F.lit(-1))
+    return F.try_element_at(F.filter(F.transform(own, lambda e: blank_to_null(shown(get(e, f"$.attributes['{field}']")))), lambda t: t.isNotNull()), F.lit(place))
 
 
 def _blocks_text(raw: Column) -> Column:
@@ -98,17 +98,17 @@ def _blocks_text(raw: Column) -> Column:
 
 
 def _event_told(events: Column) -> Column:
-    details = _event_value(events, "gen_ai.client.inference.operation.details", "gen_ai.input.messages")
-    return F.coalesce(_event_value(events, "gen_ai.user.message", "content", _blocks_text), _last_text(details, "user|human", first=True))
+    details = _event_value(events, "gen_ai.client.inference.operation.details", "gen_ai.input.messages", lambda c: _last_text(c, "user|human", first=True), 1)
+    return F.coalesce(_event_value(events, "gen_ai.user.message", "content", _blocks_text), details)
 
 
 def _event_answer(events: Column) -> Column:
     """The last choice (an agent's as it stands, like the reference's), else an inference's last assistant message, else
     the first answer in the details."""
-    details = _event_value(events, "gen_ai.client.inference.operation.details", "gen_ai.output.messages")
+    details = _event_value(events, "gen_ai.client.inference.operation.details", "gen_ai.output.messages", lambda c: _last_text(c, "assistant|model", first=True), 1)
     choice = F.when(F.col("span_type") == "invoke_agent", _event_value(events, "gen_ai.choice", "message")).otherwise(_event_value(events, "gen_ai.choice", "message", _blocks_text))
     said = F.when(F.col("span_type") == "inference", _event_value(events, "gen_ai.assistant.message", "content", _blocks_text))
-    return F.coalesce(choice, said, _last_text(details, "assistant|model", first=True))
+    return F.coalesce(choice, said, details)
 
 
 def normalize(raw: DataFrame) -> DataFrame:
