@@ -59,6 +59,11 @@ def components_by_force(docs, k=4):
     return Counter((doc, f"{prints[i]:016x}", least.get(root(i))) for i, (doc, _) in enumerate(docs))
 
 
+def words(seed, n, size=400):
+    r = random.Random(seed)
+    return " ".join(f"w{r.randrange(size)}" for _ in range(n))
+
+
 def pairs(df):
     return [(r.doc_id, r.text) for r in df.select("doc_id", "text").collect()]
 
@@ -96,6 +101,36 @@ def test_long_pieces_are_split(monkeypatch, spark):
     assert Counter(map(tuple, substring_dedup.digests(docs).collect())) == removed_by_force(rows)
 
 
+def test_words_that_weak_hashes_confuse(spark):
+    bits = [i.bit_count() % 2 for i in range(512)]
+    one, other = ("".join(x[b] for b in bits) for x in ("ab", "ba"))
+    line = " ".join(f"k{i}" for i in range(10))
+    rows = [(1, f"{line} {one} {line}"), (2, f"{line} {other} {line}"), (3, f"{line} {one} {line}")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert Counter(map(tuple, substring_dedup.digests(docs).collect())) == removed_by_force(rows)
+
+
+def test_paths_are_compacted_and_name_their_sources(spark):
+    """Two passages share their middle: the path branches there, and each span lies on one path of one source."""
+    a, b, middle = words(31, 60), words(32, 60), words(33, 60)
+    rows = [(1, f"{a} {middle} {b}"), (2, f"x {a} {middle} {b} y"), (3, f"z {middle} z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    scratch = Scratch(spark, "test")
+    found = substring_dedup.repeated_edges(substring_dedup.keyed(docs), scratch, 20, 6, 0)
+    spans = substring_dedup.compacted_spans(found).collect()
+    got = sorted((r.start, r.n, r.s_start) for r in spans)
+    assert len(spans) <= 6 and sum(n for _, n, _ in got) == (180 - 19) + (60 - 19)
+    assert {r.n for r in spans if r.start - r.s_start == 1 - 60} == {41}
+
+
+@pytest.mark.parametrize("parts", [1, 7])
+def test_substring_dedup_of_loops_and_long_texts(spark, parts):
+    loop = " ".join(["a b c"] * 3000)
+    rows = [(1, loop), (2, "x " + loop), (3, "q " * 25), (4, words(34, 30_000)), (5, words(34, 30_000) + " end"), (None, loop)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
+    assert Counter(map(tuple, substring_dedup.digests(docs).collect())) == removed_by_force(rows)
+
+
 def test_simhash_of_odd_texts(odd):
     assert Counter(map(tuple, simhash.shown(simhash.near_duplicates(odd)).collect())) == components_by_force(pairs(odd))
 

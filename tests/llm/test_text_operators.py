@@ -2,12 +2,14 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from tracelake.llm import decontam, queries, secret_scan, token_count
+from tracelake.llm.common import WORD_LETTERS, Tokens
 from tracelake.runtime import Scratch, table
 
 SF = "/root/testdata/sf0.001"
@@ -141,7 +143,7 @@ def benchmark_rows(docs):
     ]
 
 
-@pytest.mark.parametrize("most", [1_000_000, 0])
+@pytest.mark.parametrize("most", [decontam.BROADCAST_BYTES, 0])
 def test_decontamination_of_odd_texts(spark, odd, most):
     docs = [(r.doc_id, r.text) for r in odd.collect()]
     items = benchmark_rows(docs)
@@ -149,7 +151,7 @@ def test_decontamination_of_odd_texts(spark, odd, most):
     assert sorted((-1 if r.doc_id is None else r.doc_id, *r[1:]) for r in got) == hits_by_force(docs, items)
 
 
-@pytest.mark.parametrize("most", [1_000_000, 0])
+@pytest.mark.parametrize("most", [decontam.BROADCAST_BYTES, 0])
 def test_decontamination_of_whole_table(spark, most):
     docs, items = table(spark, SF, "documents"), table(spark, SF, "benchmark")
     want = hits_by_force([(r.doc_id, r.text) for r in docs.collect()], [(r.item_id, r.text) for r in items.collect()])
@@ -158,14 +160,14 @@ def test_decontamination_of_whole_table(spark, most):
     assert kept == {r[0] for r in want if not r[5]}
 
 
-@pytest.mark.parametrize("most", [1_000_000, 0])
+@pytest.mark.parametrize("most", [decontam.BROADCAST_BYTES, 0])
 def test_decontamination_of_nothing(spark, odd, none, most):
     empty = spark.createDataFrame([], "item_id long, text string")
     assert decontam.find_contamination(none, empty, most=most).collect() == []
     assert not any(r.contaminated for r in decontam.find_contamination(odd, empty, most=most).collect())
 
 
-@pytest.mark.parametrize("most", [1_000_000, 0])
+@pytest.mark.parametrize("most", [decontam.BROADCAST_BYTES, 0])
 def test_contaminated_rows_go_by_row_not_by_id(spark, most):
     """Null and repeated ids: only the rows that hold the passage go, both ways."""
     passage = " ".join(f"p{i}" for i in range(10))
@@ -176,6 +178,30 @@ def test_contaminated_rows_go_by_row_not_by_id(spark, most):
     assert sorted(r.n for r in kept.collect()) == [0, 3, 4, 6, 7]
 
 
+def twins():
+    """Two words of 512 bytes over two letters, each the other with the letters exchanged, that polynomial hashes modulo
+    powers of two cannot tell apart."""
+    bits = [i.bit_count() % 2 for i in range(512)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+@pytest.mark.parametrize("most", [decontam.BROADCAST_BYTES, 0])
+def test_words_are_compared_and_not_only_hashed(spark, most):
+    one, other = twins()
+    docs = spark.createDataFrame([(1, f"x {one} y"), (2, f"x {other} y")], "doc_id long, text string")
+    got = decontam.find_contamination(docs, spark.createDataFrame([(7, one)], "item_id long, text string"), most=most)
+    assert {r.doc_id: r.n_hit for r in got.collect()} == {1: 1, 2: 0}
+
+
+def test_containment_does_not_rest_on_hashes(monkeypatch):
+    """With one hash for all shingles everything is a candidate, and the words decide."""
+    monkeypatch.setattr(Tokens, "shingles", lambda self, k, seed=0: np.zeros(max(0, len(self.doc) - k + 1), np.uint64))
+    index = decontam.WindowIndex([("1", b"a b c d e f", 6, [0, 0]), ("2", b"c d", 2, [0])], {})
+    text = b"z a b c d e f g c d"
+    start, window = index.find(Tokens(np.frombuffer(text, np.uint8), np.array([0, len(text)]), WORD_LETTERS))
+    assert sorted((int(s), index.words.text(int(index.words.first[w]), int(index.size[w]))) for s, w in zip(start, window)) == [(1, b"a b c d e f"), (3, b"c d"), (8, b"c d")]
+
+
 def test_scratch_tables_can_be_dropped(spark):
     scratch = Scratch(spark, "test")
     kept = scratch.keep(spark.range(3), "x")

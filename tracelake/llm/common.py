@@ -1,4 +1,4 @@
-"""Array kernels shared by the corpus operators: Arrow text access, word boundaries and rolling hashes."""
+"""Array kernels shared by the corpus operators: Arrow text access, word boundaries and hashes of runs of words."""
 
 from __future__ import annotations
 
@@ -6,6 +6,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
+from pyspark.sql import Column
+from pyspark.sql import functions as F
 
 U64 = np.uint64
 #: Bytes that separate words: space, and tab to carriage return.
@@ -27,41 +30,15 @@ def mix(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> U64(31))
 
 
-class Rolling:
-    """Hashes of spans of a sequence from one prefix sum: span sums times an inverse power do not depend on place."""
-
-    def __init__(self, seed: int) -> None:
-        self.base = int(splitmix(1, seed)[0]) | 1
-        self.inverse = pow(self.base, -1, 1 << 64)
-        self._power = np.ones(1, U64)
-        self._back = np.ones(1, U64)
-
-    def _powers(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self._power) < n:
-            with np.errstate(over="ignore"):
-                ones = np.ones(n, U64)
-                ones[1:] = U64(self.base)
-                self._power = np.cumprod(ones, dtype=U64)
-                ones[1:] = U64(self.inverse)
-                self._back = np.cumprod(ones, dtype=U64)
-        return self._power[:n], self._back[:n]
-
-    def prefix(self, values: np.ndarray) -> np.ndarray:
-        power, _ = self._powers(len(values) + 1)
-        out = np.zeros(len(values) + 1, U64)
-        with np.errstate(over="ignore"):
-            np.cumsum(values * power[:-1], dtype=U64, out=out[1:])
-        return out
-
-    def spans(self, prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        _, back = self._powers(len(prefix))
-        with np.errstate(over="ignore"):
-            return mix((prefix[ends] - prefix[starts]) * back[starts])
+def _join(a: np.ndarray, b: np.ndarray, tag: int) -> np.ndarray:
+    """Hashes of pairs of hashes; each pair goes through the finaliser, so nothing of their order or kind adds up."""
+    with np.errstate(over="ignore"):
+        return mix((a ^ (b * U64(0xD6E8FEB86659FD93))) + U64(tag))
 
 
-_BYTE_VALUES = splitmix(256, 1)
-_BYTES = Rolling(2)
-_WORDS = Rolling(3)
+#: Words of up to this many bytes are hashed in arrays, eight bytes at a time; longer ones one by one.
+LANES = 64
+_LANE_MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], U64)
 
 WORD_SPACE = np.ones(256, bool)
 WORD_SPACE[list(SPACES)] = False
@@ -95,23 +72,45 @@ class Tokens:
         self.ends = np.flatnonzero(inside & right) + 1
         self.first = np.searchsorted(self.starts, offsets)
         self.doc = np.repeat(np.arange(len(offsets) - 1), np.diff(self.first))
-        self._hash: np.ndarray | None = None
-        self._prefix: np.ndarray | None = None
-
-    def word_hashes(self) -> np.ndarray:
-        """A 64-bit hash of each word's bytes."""
-        if self._hash is None:
-            prefix = _BYTES.prefix(_BYTE_VALUES[self.data])
-            with np.errstate(over="ignore"):
-                self._hash = _BYTES.spans(prefix, self.starts, self.ends) + (self.ends - self.starts).astype(U64)
-        return self._hash
-
-    def shingles(self, k: int) -> np.ndarray:
-        """Hashes of the ``k`` words that start at each word; only those at ``full(k)`` are meant."""
-        if self._prefix is None:
-            self._prefix = _WORDS.prefix(mix(self.word_hashes()))
-        at = np.arange(max(0, len(self.starts) - k + 1))
-        return _WORDS.spans(self._prefix, at, at + k)
+        self._runs: dict[tuple[int, int], np.ndarray] = {}
+
+    def word_hashes(self, seed: int = 0) -> np.ndarray:
+        """A 64-bit hash of each word's bytes. Every eight bytes pass the finaliser together with the state before, so
+        no pattern of bytes collides by construction; words of up to eight bytes of one length never collide."""
+        if (1, seed) not in self._runs:
+            size = self.ends - self.starts
+            h = mix(size.astype(U64) + splitmix(1, 1000 + seed))
+            lanes = np.lib.stride_tricks.sliding_window_view(np.append(self.data, np.zeros(8, np.uint8)), 8)
+            at, step = np.flatnonzero(size <= LANES), 0
+            while len(at):
+                part = np.ascontiguousarray(lanes[self.starts[at] + step]).view("<u8")[:, 0]
+                h[at] = mix(h[at] ^ (part & _LANE_MASK[np.minimum(size[at] - step, 8)]))
+                step += 8
+                at = at[size[at] > step]
+            for i in np.flatnonzero(size > LANES).tolist():
+                h[i] = xxhash.xxh3_64_intdigest(self.data[self.starts[i] : self.ends[i]].tobytes(), seed)
+            self._runs[1, seed] = h
+        return self._runs[1, seed]
+
+    def _run(self, k: int, seed: int) -> np.ndarray:
+        """Hashes of the runs of ``k`` words, a power of two, that start at each word."""
+        if k == 1:
+            return self.word_hashes(seed)
+        if (k, seed) not in self._runs:
+            half = self._run(k // 2, seed)
+            self._runs[k, seed] = _join(half[: max(0, len(half) - k // 2)], half[k // 2 :], k)
+        return self._runs[k, seed]
+
+    def shingles(self, k: int, seed: int = 0) -> np.ndarray:
+        """Hashes of the ``k`` words that start at each word; only those at ``full(k)`` are meant. A run is the pair of
+        the two runs, as long as a power of two, that begin and end it."""
+        p = 1 << k.bit_length() - 1
+        run = self._run(p, seed)
+        return run if p == k else _join(run[: max(0, len(run) - (k - p))], run[k - p :], -k & 0xFFFF)
+
+    def text(self, first: int, size: int) -> bytes:
+        """The words of a run, joined by one space."""
+        return b" ".join(self.data[a:b].tobytes() for a, b in zip(self.starts[first : first + size].tolist(), self.ends[first : first + size].tolist()))
 
     def full(self, k: int) -> np.ndarray:
         """Whether the ``k`` words that start at a word are all of its document."""
@@ -119,6 +118,35 @@ class Tokens:
         return self.doc[:n] == self.doc[k - 1 : k - 1 + n]
 
 
+def spread(first: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, place) of every member of ranges given by their first place and their number of places."""
+    row = np.repeat(np.arange(len(first)), count)
+    return row, np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count) + first[row]
+
+
+def equal_words(a: Tokens, first: np.ndarray, b: Tokens, second: np.ndarray, size: np.ndarray, step: int = 1_000_000) -> np.ndarray:
+    """Whether the ``size`` words of ``a`` from ``first`` are, byte by byte, those of ``b`` from ``second``. Rows are
+    compared in turn so that about ``step`` words' arrays are held."""
+    out = np.ones(len(first), bool)
+    cuts = np.searchsorted(np.cumsum(size), np.arange(0, int(size.sum()) + step, step), "right")
+    for lo, hi in zip([0, *cuts[1:-1].tolist()], [*cuts[1:-1].tolist(), len(first)]):
+        row, i = spread(first[lo:hi], size[lo:hi])
+        j = i - first[lo:hi][row] + second[lo:hi][row]
+        length = a.ends[i] - a.starts[i]
+        good = length == b.ends[j] - b.starts[j]
+        word, at = spread(a.starts[i[good]], length[good])
+        other = at - a.starts[i[good]][word] + b.starts[j[good]][word]
+        good[np.flatnonzero(good)[word[a.data[at] != b.data[other]]]] = False
+        out[lo:hi][row[~good]] = False
+    return out
+
+
+def row_key(*columns: Column) -> list[Column]:
+    """Two columns, ``r1`` and ``r2``, that tell rows apart by the given columns: 128 bits, as 64 would make two of ten
+    billion rows equal."""
+    return [F.xxhash64(*columns).alias("r1"), F.xxhash64(F.lit("second"), *columns).alias("r2")]
+
+
 def text_arrays(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes and offsets (from 0) of a string or binary column; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -162,6 +190,4 @@ def column(batch: pa.RecordBatch, name: str) -> pa.Array:
 
 def rank_mod(name: str = "doc_id", mod: int = 4):
     """``crc32`` of an identifier's decimal text, modulo ``mod``: the fold of a labelled row. Null counts as empty."""
-    from pyspark.sql import functions as F
-
     return F.crc32(F.coalesce(F.col(name).cast("string"), F.lit("")).cast("binary")) % F.lit(mod)

@@ -38,7 +38,7 @@ SCHEMA = "doc_id long, held_out boolean, score double, predicted int"
 def feature_rows(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(document, feature) of every word, neighbouring pair and skip-gram, repeats included."""
     tokens = Tokens(LOWER[data], offsets, WORD_LETTERS)
-    words, doc = mix(tokens.word_hashes()), tokens.doc
+    words, doc = tokens.word_hashes(), tokens.doc
     rows, values = [doc], [words]
     with np.errstate(over="ignore"):
         for gap in (1, 2, 3):
