@@ -8,8 +8,10 @@ import uuid
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _SHIPPED: set[str] = set()
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def local_session(cpus: int | str = "*", name: str = "tracelake", partitions: int = 8) -> SparkSession:
@@ -32,8 +34,10 @@ def ship_package(spark: SparkSession) -> None:
     Python workers unpickle operator functions by module name, so every executor needs the package even where it
     is not installed. ``addPyFile`` distributes a zip through Spark's own file service; no shared disk is assumed.
     """
-    # Arrow batches of few rows keep the workers' memory bounded when single texts are very long.
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    # Arrow batches of few rows keep the workers' memory bounded when single texts are very long; a number that the
+    # caller has set stays
+    if not spark._jsparkSession.sessionState().conf().contains(BATCH_ROWS):
+        spark.conf.set(BATCH_ROWS, "1000")
     app = spark.sparkContext.applicationId
     if app in _SHIPPED:
         return
@@ -53,21 +57,24 @@ def ship_package(spark: SparkSession) -> None:
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor and the driver can reach.
 
-    Read from ``spark.checkpoint.dir``; a folder of our own is used only where the setting is absent, which is the
-    case on a single machine (tests, bench).
+    Read from ``spark.checkpoint.dir``. Where it is unset, a local master (tests, bench) gets a folder of its own; on a
+    cluster there is none that all machines share, and that is an error.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
         jvm_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
         folder = jvm_dir.get() if jvm_dir.isDefined() else None
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="tracelake-shared-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
 
 
 class Scratch:
-    """Tables written to the shared folder to cut lineage; they survive the loss of any executor.
+    """Tables written to the shared folder to cut lineage; they survive the loss of any executor, and go when the
+    application ends.
 
     ``keep`` writes a DataFrame as zstd Parquet and returns it reread; ``drop`` deletes one table early, which an
     iterative plan does as soon as the next table is complete.
@@ -77,6 +84,12 @@ class Scratch:
         self.spark = spark
         self.root = f"{shared_folder(spark)}/tracelake-{name}-{uuid.uuid4().hex[:12]}"
         self._n = 0
+        self._told = False
+
+    def _files(self, path: str):
+        """The path and its file system, as the driver's Hadoop classes see them."""
+        where = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        return where, where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
 
     def path(self, label: str) -> str:
         self._n += 1
@@ -85,6 +98,9 @@ class Scratch:
     def keep(self, df: DataFrame, label: str) -> DataFrame:
         where = self.path(label)
         df.write.option("compression", "zstd").parquet(where)
+        if not self._told:  # only a folder that exists can be marked for the end
+            root, files = self._files(self.root)
+            self._told = files.deleteOnExit(root)
         out = self.spark.read.schema(df.schema).parquet(where)
         out._tracelake_path = where
         return out
@@ -92,9 +108,18 @@ class Scratch:
     def drop(self, df: DataFrame) -> None:
         where = getattr(df, "_tracelake_path", None)
         if where:
-            jvm = self.spark.sparkContext._jvm
-            path = jvm.org.apache.hadoop.fs.Path(where)
-            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+            path, files = self._files(where)
+            files.delete(path, True)
+
+
+#: Largest side that is broadcast.
+BROADCAST_BYTES = 64 << 20
+
+
+def broadcast_if_small(df: DataFrame) -> DataFrame:
+    """``df`` with a broadcast hint if the optimiser knows its size and that is small; else as it is."""
+    n = input_bytes(df)
+    return F.broadcast(df) if 0 < n <= BROADCAST_BYTES else df
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
