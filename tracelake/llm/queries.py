@@ -17,6 +17,11 @@ def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def known_words() -> dict[str, int]:
+    """The words that make a secret cheap to guess: an English vocabulary's and one for many languages'."""
+    return secret_scan.ranked_words(*map(vocabulary_path, ("byte_bpe_50k.tiktoken", "byte_bpe_multi_50k.tiktoken")))
+
+
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.digests(table(spark, sf_dir, "documents"))
 
@@ -30,7 +35,7 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secret_scan.digests(secret_scan.scan(table(spark, sf_dir, "documents")))
+    return secret_scan.digests(secret_scan.scan(table(spark, sf_dir, "documents"), ranks=known_words()))
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
