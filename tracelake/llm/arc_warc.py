@@ -7,13 +7,16 @@ these, and makes for each record the WARC identifier (a name-based UUID of place
 
 Of records with equal payloads of at least ``MIN_REVISIT`` bytes, the one with the largest key is stored in full
 (``response``); the others become ``revisit`` records that name it and carry its digest. Which one is kept is found by
-a partial aggregation on the payload digest, so a payload that a third of all pages share is one row per task. Payloads
-travel compressed, and only digests that occur more than once take part in the join's other side.
+a partial aggregation on the payload digest, so a payload that a third of all pages share is one row per task. Records
+are parsed once and written, compressed; only digests that occur more than once are joined with them.
 
 WARC files are written through Spark's text writer, so any file system works: each row is a run of gzip members (one
 per record, as the format recommends), closed by an empty member whose last byte is the writer's line separator. They
 are read back with Spark's ``binaryFile`` reader, record by record.
 
+Columns besides key, url and payload are ignored, whatever their names. A payload is held whole, and a file of
+``SEGMENT_BYTES`` or of one longer payload at a time.
+
 Nulls: a null payload counts as empty, a null url as ``urn:none``; a null key is kept and never refers or is referred
 to unless all keys of a payload are null, in which case all are responses. Rows that repeat the largest key of a
 payload are all responses. An empty table gives an empty archive and an empty result.
@@ -33,11 +36,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracelake.llm.common import column, texts
+from tracelake.llm.skew import skew_join
 from tracelake.runtime import Scratch, ship_package
 
 MIN_REVISIT = 1000
 SEGMENT_BYTES = 4_000_000
 ROWS_PER_FILE = 16
+BROADCAST_BYTES = 64 << 20
 #: Field lists of the two header versions (fixed values).
 FIELDS = {
     1: b"URL IP-address Archive-date Content-type Archive-length",
@@ -198,22 +203,34 @@ def base32_digest(sha1: str) -> str:
     return "sha1:" + base64.b32encode(bytes.fromhex(sha1)).decode()
 
 
-def warc_record(key: int | None, url: str, ip: str, date: str, sha1: str, block: bytes, refers_to: int | None) -> bytes:
-    """A response record, or a revisit record (the HTTP headers only) if ``refers_to`` is given."""
-    kind = "response" if refers_to is None else "revisit"
-    if refers_to is not None:
+def warc_record(key: int | None, url: str, ip: str, date: str, sha1: str, block: bytes, kept: dict | None) -> bytes:
+    """A response record, or a revisit record (the HTTP headers only) that names the response ``kept``."""
+    kind = "response" if kept is None else "revisit"
+    if kept is not None:
         block = block.partition(b"\r\n\r\n")[0] + b"\r\n\r\n"
     head = [
         "WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: {record_id(key, url, date, sha1)}", f"WARC-Date: {warc_date(date)}",
         f"WARC-Target-URI: {url}", f"WARC-IP-Address: {ip}", f"WARC-Payload-Digest: {base32_digest(sha1)}",
         f"WARC-Block-Digest: {base32_digest(hashlib.sha1(block).hexdigest())}", "Content-Type: application/http; msgtype=response",
     ]
-    if refers_to is not None:
-        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"X-Refers-To-Page-Id: {refers_to}"]
+    if kept is not None:
+        head += [
+            "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest",
+            f"WARC-Refers-To: {record_id(kept['page_id'], kept['url'], kept['date'], sha1)}", f"WARC-Refers-To-Target-URI: {kept['url']}",
+            f"WARC-Refers-To-Date: {warc_date(kept['date'])}", f"X-Refers-To-Page-Id: {kept['page_id']}",
+        ]
     head += [f"Content-Length: {len(block)}", "", ""]
     return "\r\n".join(head).encode() + block + b"\r\n\r\n"
 
 
+def warc_info(first: bytes) -> bytes:
+    """The record that opens a file; its identifier comes from the file's first record."""
+    block = b"software: tracelake converter\r\nformat: WARC File Format 1.1\r\n"
+    name = uuid.uuid5(uuid.NAMESPACE_OID, hashlib.sha1(first).hexdigest())
+    head = ["WARC/1.1", "WARC-Type: warcinfo", f"WARC-Record-ID: <urn:uuid:{name}>", f"WARC-Date: {warc_date(DATE)}", "Content-Type: application/warc-fields", f"Content-Length: {len(block)}", "", ""]
+    return "\r\n".join(head).encode() + block + b"\r\n\r\n"
+
+
 def parse_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
     """Headers (lower-case names) and block of each record."""
     at = 0
@@ -248,16 +265,25 @@ def gunzip_members(data: bytes) -> Iterator[bytes]:
 
 
 def choose_responses(records: DataFrame, least: int = MIN_REVISIT) -> DataFrame:
-    """``records`` with ``refers_to``: null for responses, else the key of the response with the same payload."""
-    long_ones = records.where(F.col("payload_bytes") >= least).select("sha1", "payload_bytes", "page_id")
-    groups = long_ones.groupBy("sha1").agg(F.max("page_id").alias("kept"), F.count("*").alias("n")).where("n > 1 and kept is not null").select("sha1", "kept")
-    joined = records.join(groups, "sha1", "left")
-    other = (F.col("payload_bytes") >= least) & F.col("kept").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("kept"))
-    return joined.withColumn("refers_to", F.when(other, F.col("kept"))).drop("kept")
+    """``records`` with ``kept``: null for responses, else key, url and date of the response with the same payload.
+
+    ``records`` is read more than once, so it had better be written. Repeated digests are broadcast while what is told
+    of them takes at most ``BROADCAST_BYTES``, which is summed first, and records stay where they are; beyond it they
+    meet by digest, and frequent digests still stay (see ``skew_join``).
+    """
+    long_ones = records.where(F.col("payload_bytes") >= least).select("sha1", F.struct("page_id", "url", "date").alias("x"))
+    groups = long_ones.groupBy("sha1").agg(F.max("x").alias("kept"), F.count("*").alias("n")).where("n > 1 and kept.page_id is not null")
+    size = groups.agg(F.sum(F.octet_length("kept.url") + F.lit(200)).cast("long")).first()[0] or 0
+    if size <= BROADCAST_BYTES:
+        joined = records.join(F.broadcast(groups.drop("n")), "sha1", "left")
+    else:
+        joined = skew_join(records, groups.drop("n"), ["sha1"], "left", counts=groups.select("sha1", "n"))
+    other = (F.col("payload_bytes") >= least) & F.col("kept").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("kept.page_id"))
+    return joined.withColumn("kept", F.when(other, F.col("kept")))
 
 
 def write_warc(records: DataFrame, path: str) -> None:
-    """WARC files of records (see ``RECORDS``) with ``refers_to``, under ``path``."""
+    """WARC files of records (see ``RECORDS``) with ``kept``, under ``path``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor().decompress
@@ -272,14 +298,17 @@ def write_warc(records: DataFrame, path: str) -> None:
 
         for batch in batches:
             for r in batch.to_pylist():
-                out.append(_gzip(warc_record(r["page_id"], r["url"], r["ip"], r["date"], r["sha1"], unpack(r["packed"]), r["refers_to"])))
+                made = warc_record(r["page_id"], r["url"], r["ip"], r["date"], r["sha1"], unpack(r["packed"]), r["kept"])
+                if not out:
+                    out.append(_gzip(warc_info(made)))
+                out.append(_gzip(made))
                 size += len(out[-1])
                 if size >= SEGMENT_BYTES:
                     yield close()
         if out:
             yield close()
 
-    segments = records.select("page_id", "url", "ip", "date", "sha1", "packed", "refers_to").mapInArrow(run, "data binary")
+    segments = records.select("page_id", "url", "ip", "date", "sha1", "packed", "kept").mapInArrow(run, "data binary")
     segments.select(F.col("data").cast("string").alias("value")).write.option("lineSep", "\x00").option("maxRecordsPerFile", ROWS_PER_FILE).text(path)
 
 
@@ -289,7 +318,8 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for data in texts(batch, "content"):
-                yield _batch([_described(h, b) for member in gunzip_members(data) for h, b in parse_warc(member)], RESULT)
+                records = (x for member in gunzip_members(data) for x in parse_warc(member))
+                yield _batch([_described(h, b) for h, b in records if h["warc-type"] in ("response", "revisit")], RESULT)
 
     files = spark.read.format("binaryFile").load(path).select("content")
     return files.mapInArrow(run, RESULT)
@@ -310,8 +340,10 @@ def convert(arcs: DataFrame, path: str, least: int = MIN_REVISIT) -> None:
     """ARC files (column ``arc``) to WARC files under ``path``."""
     spark = arcs.sparkSession
     ship_package(spark)
-    records = read_arc(arcs)
+    scratch = Scratch(spark, "records")
+    records = scratch.keep(read_arc(arcs), "records")  # parsed once, read for the digests and again for the files
     write_warc(choose_responses(records, least), path)
+    scratch.drop(records)
 
 
 def archive_pages(pages: DataFrame, least: int = MIN_REVISIT) -> DataFrame:

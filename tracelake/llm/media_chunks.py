@@ -9,15 +9,16 @@ wherever they lie. A chunk is known by its SHA-256.
    task by the partial aggregation.
 3. A second pass writes the media table: a chunk that no other chunk may equal stays in its payload's row, compressed;
    the others leave a reference, and their bytes go to the chunk store, which a Spark aggregation on the digest makes
-   unique. Which chunks may have an equal is told by a Bloom filter of fixed size (``FILTER_BITS``): it never misses a
-   shared chunk, and one that it wrongly lists is merely stored beside the shared ones. Its size is a parameter and
-   does not grow with the input; when it fills up, more chunks take the store's way, with the same result.
+   unique. Which chunks may have an equal is told by a Bloom filter sized by the number of shared chunks (at most
+   ``FILTER_BITS``): it never misses a shared chunk, and one that it wrongly lists is merely stored beside the shared
+   ones. Beyond that size more chunks take the store's way, with the same result.
 4. Reading back joins references with the store on the digest and puts the chunks of each distinct recipe in order;
    every chunk and every rebuilt file is checked against its digest. Recipes are rebuilt once, however many rows share
    them, and the narrow results are joined back to the rows.
 
 Null and empty texts give the smallest payload (one pad unit of spaces). Repeated rows get equal values. An empty
-table gives an empty result. Other columns are ignored.
+table gives an empty result. Other columns are ignored, whatever their names. Texts are never split: a task holds a
+batch of texts and, of the longest one, the payload, its hashes (eight times its size) and its chunks.
 """
 
 from __future__ import annotations
@@ -34,6 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracelake.llm.common import U64, column, splitmix, texts
+from tracelake.llm.skew import skew_join
 from tracelake.runtime import Scratch, ship_package
 
 PAD = 192
@@ -42,7 +44,8 @@ HEADER_BYTES = 44
 LEAST_CHUNK = 1024
 MEAN_BITS = 12
 LARGEST_CHUNK = 16 * 1024
-FILTER_BITS = 1 << 26
+#: Most bits of the filter; one of 2^28 is 32 MB and tells 27 million shared chunks apart.
+FILTER_BITS = 1 << 28
 FILTER_HASHES = 4
 GEAR = splitmix(256, 41)
 RESULT = "recipe binary, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
@@ -133,27 +136,30 @@ class DigestFilter:
         return ((self.bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1).all(1)
 
 
+def filter_size(n_shared: int) -> int:
+    """Bits for a number of digests: about one wrong answer in a hundred, and at most ``FILTER_BITS``."""
+    return min(FILTER_BITS, 1 << max(16, (10 * n_shared).bit_length()))
+
+
 def shared_filter(shared: DataFrame, size: int) -> DigestFilter:
-    """The union of per-task filters over the digests of ``shared``; each is sent as its set places or its bits,
-    whichever is smaller."""
-    n_bytes = size // 8
+    """The filter over the digests of ``shared``, made by an aggregation: tasks send the words of 64 bits that they set,
+    and Spark joins equal words' bits. At most ``size`` / 64 words reach the driver."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(n_bytes, np.uint8)
         for batch in batches:
             if batch.num_rows:
                 at = np.unique(DigestFilter.places(column(batch, "digest").to_pylist(), size))
-                np.bitwise_or.at(bits, at >> 3, np.left_shift(1, at & 7).astype(np.uint8))
-        if bits.any():
-            yield pa.RecordBatch.from_arrays([pa.array([zstandard.ZstdCompressor(level=1).compress(bits.tobytes())], pa.binary())], ["bits"])
+                word, first = np.unique(at >> 6, return_index=True)
+                bits = np.bitwise_or.reduceat(np.left_shift(U64(1), (at & 63).astype(U64)), first)
+                yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(bits.view(np.int64))], ["word", "bits"])
 
-    total = np.zeros(n_bytes, np.uint8)
-    for row in shared.coalesce(8).mapInArrow(run, "bits binary").toLocalIterator():
-        total |= np.frombuffer(zstandard.ZstdDecompressor().decompress(bytes(row["bits"])), np.uint8)
-    return DigestFilter(total)
+    total = np.zeros(size // 64, np.uint64)
+    found = shared.select("digest").mapInArrow(run, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    total[found.column("word").to_numpy()] = found.column("bits").to_numpy().view(np.uint64)
+    return DigestFilter(total.view(np.uint8))
 
 
-def store(docs: DataFrame, scratch: Scratch, text: str = "text", key: str = "doc_id", filter_bits: int = FILTER_BITS) -> tuple[DataFrame, DataFrame, DataFrame]:
+def store(docs: DataFrame, scratch: Scratch, text: str = "text", key: str = "doc_id", filter_bits: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(rows, media, chunk store): rows map a key to its recipe; media hold a recipe's own chunks and references."""
     spark = docs.sparkSession
     ship_package(spark)
@@ -169,8 +175,9 @@ def store(docs: DataFrame, scratch: Scratch, text: str = "text", key: str = "doc
             )
 
     rows = scratch.keep(source.mapInArrow(list_chunks, "doc_id long, n_bytes long, recipe binary, digests array<binary>"), "recipes")
-    shared = rows.select(F.explode("digests").alias("digest")).groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest")
-    told = spark.sparkContext.broadcast(shared_filter(shared, filter_bits))
+    shared = rows.select(F.explode("digests").alias("digest")).groupBy("digest").agg(F.count("*").alias("n")).where("n > 1")
+    shared = scratch.keep(shared.select("digest"), "shared")
+    told = spark.sparkContext.broadcast(shared_filter(shared, filter_bits or filter_size(shared.count())))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         may_repeat, pack = told.value, zstandard.ZstdCompressor(level=3).compress
@@ -256,14 +263,17 @@ def read_back(media: DataFrame, store: DataFrame) -> DataFrame:
     # rows with references: one per recipe, as several tasks may have written the same payload
     apart = media.where(F.exists("inline_sizes", lambda n: n == 0)).groupBy("recipe").agg(F.first(F.struct("digests", "inline_sizes", "data")).alias("m"))
     apart = apart.select("recipe", "m.*")
-    wanted = apart.select("recipe", F.explode(F.arrays_zip("digests", "inline_sizes")).alias("x")).where("x.inline_sizes = 0").select("recipe", F.col("x.digests").alias("digest")).distinct()
-    fetched = wanted.join(store, "digest").groupBy("recipe").agg(F.collect_list(F.struct("digest", "chunk")).alias("fetched"))
+    refers = media.where(F.exists("inline_sizes", lambda n: n == 0)).select("recipe", F.explode(F.arrays_zip("digests", "inline_sizes")).alias("x"))
+    wanted = refers.where("x.inline_sizes = 0").select("recipe", F.col("x.digests").alias("digest")).distinct()
+    # a chunk of at most LARGEST_CHUNK bytes: those of the frequent digests are broadcast (see skew_join)
+    fetched = skew_join(wanted, store, ["digest"]).groupBy("recipe").agg(F.collect_list(F.struct("digest", "chunk")).alias("fetched"))
     return whole.unionByName(apart.join(fetched, "recipe").mapInArrow(rebuild, RESULT))
 
 
-def round_trip(docs: DataFrame, text: str = "text", key: str = "doc_id", filter_bits: int = FILTER_BITS) -> DataFrame:
+def round_trip(docs: DataFrame, text: str = "text", key: str = "doc_id", filter_bits: int | None = None) -> DataFrame:
     """One row per row of ``docs`` with what the rebuilt media show."""
     scratch = Scratch(docs.sparkSession, "media")
     rows, media, parts = store(docs, scratch, text, key, filter_bits)
     found = scratch.keep(read_back(media, parts), "described").dropDuplicates(["recipe"])
-    return rows.select("doc_id", "n_bytes", "recipe").join(found, "recipe").drop("recipe")
+    # a payload that very many rows share is one row of what is found, and stays out of the shuffle
+    return skew_join(rows.select("doc_id", "n_bytes", "recipe"), found, ["recipe"]).drop("recipe")
