@@ -9,6 +9,7 @@ import xxhash
 
 from tracelake.llm import similarity, simhash, substring_dedup
 from tracelake.llm.components import connected_components
+from tracelake.llm.skew import skew_join
 from tracelake.runtime import Scratch, table
 
 SF = "/root/testdata/sf0.001"
@@ -194,8 +195,8 @@ def test_every_pair_shares_a_key():
             assert any(all((x >> b & 1) == (y >> b & 1) for b in bits) for _, bits in keys)
 
 
-@pytest.mark.parametrize("keep", [simhash.keep_one, similarity.keep_one_similar])
-def test_keep_one(odd, none, keep):
+def test_keep_one(odd, none):
+    keep = similarity.keep_one_similar
     kept = keep(odd)
     assert kept.columns == odd.columns
     rows = [(r.doc_id, r.text) for r in kept.collect()]
@@ -231,10 +232,17 @@ def test_similar_texts_go_and_others_stay(spark, tile):
         assert (i not in kept) or near <= 0.9, (i, near)
 
 
-def test_plan_reaches_its_recall():
-    for n in (10, 10**6, 10**9, 10**12):
-        bits, blocks = similarity.plan(n)
-        assert 1 - (1 - (1 - similarity.bit_share(0.8)) ** bits) ** blocks >= 0.95 and (1 << bits) >= min(n, 1 << 44)
+def test_hubs_and_hot_keys_leave_the_result_as_it_is(spark):
+    """A star of 3,000 leaves, a chain, and a clique: components are those of union-find, whatever the hubs."""
+    edges = [(0, i) for i in range(1, 3001)] + [(i, i + 1) for i in range(5000, 5060)] + [(a, b) for a in range(6000, 6020) for b in range(6000, a)] + [(7000 + i, 7500) for i in range(200)]
+    found = {x.node: x.root for x in connected_components(spark.createDataFrame(edges, "a long, b long").repartition(5), Scratch(spark, "test")).collect()}
+    want = {n: (0 if n <= 3000 else 5000 if n < 5100 else 6000 if n < 6100 else 7000) for e in edges for n in e}
+    assert found == want
+    left = spark.createDataFrame([(1, i) for i in range(500)] + [(2, 0), (3, 1), (None, 5)], "k long, i long")
+    right = spark.createDataFrame([(1, "one"), (2, "two"), (4, "four")], "k long, name string")
+    for how in ("inner", "left"):
+        got = skew_join(left, right, ["k"], how).select("k", "i", "name").collect()
+        assert Counter(map(tuple, got)) == Counter(map(tuple, left.join(right, ["k"], how).select("k", "i", "name").collect()))
 
 
 def kept_ids(spark, rows):
@@ -271,15 +279,15 @@ def test_candidates_chain_but_only_similar_texts_are_joined(spark):
     assert kept_ids(spark, rows) == {i for i, _ in rows}
 
 
-def test_decisions_do_not_follow_the_size(monkeypatch, spark):
-    """Pairs around 0.8 are decided alike in a corpus of this size and of one two million times as large."""
+def test_decisions_follow_the_similarity_and_not_the_size(spark):
+    """Pairs around 0.8 are decided by their exact similarity, alone and among thousands of other texts."""
     r = random.Random(23)
     rows = []
     for pair in range(150):
         own = [f"w{r.randrange(10**9)}" for _ in range(204)]
         cut = 34 + pair % 13
         rows += [(2 * pair, " ".join(own)), (2 * pair + 1, " ".join(own[cut:]))]
-    small = kept_ids(spark, rows)
-    sized = similarity.plan
-    monkeypatch.setattr(similarity, "plan", lambda n, *more: sized(n << 21, *more))
-    assert kept_ids(spark, rows) == small == {i for i, t in rows if i % 2 == 0 or jaccard(t, rows[i - 1][1]) < 0.8}
+    others = [(1000 + i, " ".join(f"x{r.randrange(10**9)}" for _ in range(20))) for i in range(3000)]
+    want = {i for i, t in rows if i % 2 == 0 or jaccard(t, rows[i - 1][1]) < 0.8}
+    assert kept_ids(spark, rows) == want
+    assert kept_ids(spark, rows + others) == want | {i for i, _ in others}

@@ -54,6 +54,15 @@ def test_chunks_survive_a_shift():
     assert all(len(c) >= media_chunks.LEAST_CHUNK for c in a[:-1])
 
 
+def test_filter_holds_what_is_shared(spark):
+    r = random.Random(9)
+    digests = [r.randbytes(32) for _ in range(3000)]
+    size = media_chunks.filter_size(2000)
+    found = media_chunks.shared_filter(spark.createDataFrame([(bytearray(d),) for d in digests[:2000]], "digest binary").repartition(6), size)
+    assert found.holds(digests[:2000]).all() and found.holds(digests[2000:]).mean() < 0.05
+    assert media_chunks.filter_size(10**12) == media_chunks.FILTER_BITS
+
+
 def test_shared_chunks_are_stored_once(spark):
     body = " ".join(str(random.Random(3).random()) for _ in range(1))
     r = random.Random(4)
@@ -95,6 +104,13 @@ def test_pages_through_archives(spark, version, monkeypatch):
     assert got == pages_by_force(PAGES)
 
 
+def test_many_repeated_digests_meet_in_a_shuffle(spark, monkeypatch):
+    monkeypatch.setattr(arc_warc, "BROADCAST_BYTES", 0)
+    pages = spark.createDataFrame([*PAGES, *((100 + i, "u", "x" * 3000) for i in range(90))], "page_id long, url string, html string")
+    got = sorted(map(tuple, arc_warc.archive_pages(pages).collect()), key=lambda x: (x[0] is None, x[0] or 0, x[1:4]))
+    assert got == pages_by_force([tuple(r) for r in pages.collect()])
+
+
 def test_whole_table_and_nothing(spark):
     pages = table(spark, SF, "pages")
     got = sorted(map(tuple, arc_warc.archive_pages(pages).collect()))
@@ -121,6 +137,13 @@ def test_warc_files_are_plain_gzip_members(spark):
     path = Scratch(spark, "test").path("warc")
     arc_warc.convert(arc_warc.pages_to_arc(spark.createDataFrame(PAGES, "page_id long, url string, html string").coalesce(1)), path)
     data = b"".join(gzip.decompress(open(f, "rb").read()) for f in glob.glob(path.removeprefix("file://") + "/part-*"))
-    heads = [h for h, _ in arc_warc.parse_warc(data)]
-    assert len(heads) == len(PAGES) and len({h["warc-record-id"] for h in heads}) >= len(PAGES) - 2
+    every = [h for h, _ in arc_warc.parse_warc(data)]
+    heads = [h for h in every if h["warc-type"] != "warcinfo"]
+    assert every[0]["warc-type"] == "warcinfo" and len(every) > len(heads)
+    named = {h["warc-record-id"]: h for h in heads if h["warc-type"] == "response"}
+    revisits = [h for h in heads if h["warc-type"] == "revisit"]
+    for h in revisits:
+        of = named[h["warc-refers-to"]]
+        assert of["warc-payload-digest"] == h["warc-payload-digest"] and of["warc-target-uri"] == h["warc-refers-to-target-uri"] and of["warc-date"] == h["warc-refers-to-date"]
+    assert revisits and len(heads) == len(PAGES) and len({h["warc-record-id"] for h in heads}) >= len(PAGES) - 2
     assert all(h["warc-date"] == "2024-01-01T00:00:00Z" for h in heads)

@@ -1,4 +1,5 @@
 import hashlib
+import math
 import random
 import re
 
@@ -82,22 +83,80 @@ def test_guess_cost_orders_values():
     assert cost("") == 0
     for weak in ("password1", "P@ssw0rd", "aaaaaaaaaa", "qwertyuiop", "2024-01-31", "abcabcabcabc", "12345678"):
         assert cost(weak) < secret_scan.DEFAULT_THRESHOLD, weak
-    for strong in ("k3J9xQ2mZp", "b7db7aa4a5fcc78305", "8#kQz!vL2p"):
+    for strong in ("k3J9xQ2mZp", "b7db7aa4a5fcc78305", "8#kQz!vL2p", "xkqzjvwpmtrbhd", "XKQZJVWPMT"):
         assert cost(strong) >= secret_scan.DEFAULT_THRESHOLD, strong
-    assert cost("ab" * 400) > 0
+    words = queries.known_words()
+    assert len(words) > 20_000 and words["password"] == 1
+    for plain in ("information", "Entwicklung", "international", "monkey1999", "january2024"):
+        assert cost(plain, words) < secret_scan.DEFAULT_THRESHOLD < cost(plain.translate(str.maketrans("aeiot", "xqzjk")), words) + 4, plain
+    for strong in ("k3J9xQ2mZp", "xkqzjvwpmtrbhd"):
+        assert cost(strong, words) >= secret_scan.DEFAULT_THRESHOLD, strong
 
 
-@settings(max_examples=100, deadline=None)
-@given(st.text(alphabet="abqw12@P-", max_size=14))
-def test_cost_is_the_cheapest_split(value):
-    """No split of the value into two parts is cheaper than the optimum (with the price of a further segment)."""
-    import math
+def test_long_values_are_costed_as_a_whole():
+    cost = secret_scan.guess_cost
+    unit = "kx93qmzt"
+    assert abs(cost(unit * 24) - cost(unit * 12) - math.log10(2)) < 1e-9
+    r = random.Random(4)
+    long = "".join(r.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(20_000))
+    assert cost(long) > 10_000
+
+
+def cost_by_force(value, ranks):
+    """The cheapest of all ways to cut the value into segments, each priced by what it is."""
+    low = value.lower()
+    digit = lambda c: 10 if c.isdigit() else 26 if c.isascii() and c.isalpha() else 33
+
+    def price(a, b):
+        part, shown, n = value[a:b], low[a:b], b - a
+        brute = [math.log10(digit(c)) for c in part]
+        costs = [sum(brute)]
+        if n >= 3:
+            for form, extra in ((shown, 0.0), (shown.translate(secret_scan.LEET), 0.3)):
+                if form in ranks:
+                    costs.append(math.log10(ranks[form] + 1) + extra + (0.6 if part != shown else 0.0))
+        if n >= 4 and all(frozenset(x) in secret_scan.NEXT_KEYS for x in zip(shown, shown[1:])):
+            costs.append(math.log10(188 * n))
+        if n >= 3 and {ord(y) - ord(x) for x, y in zip(shown, shown[1:])} in ({1}, {-1}):
+            costs.append(math.log10(40 * n))
+        if n >= 4 and part[0].isdigit() and part[-1].isdigit() and secret_scan.date_cost(part) is not None:
+            costs.append(secret_scan.date_cost(part))
+        for unit in range(1, n // 2 + 1):
+            if n >= 3 and n % unit == 0 and shown == shown[:unit] * (n // unit):
+                costs.append(sum(brute[:unit]) + math.log10(n // unit))
+        return min(costs)
+
+    best = [0.0]
+    for end in range(1, len(value) + 1):
+        best.append(min(best[a] + price(a, end) + (math.log10(2) if a else 0.0) for a in range(end)))
+    return best[-1]
+
 
-    best = secret_scan.guess_cost(value)
-    if not value.isalpha():
-        for i in range(1, len(value)):
-            if not value[:i].isalpha() and not value[i:].isalpha():
-                assert best <= secret_scan.guess_cost(value[:i]) + secret_scan.guess_cost(value[i:]) + 2 * math.log10(2) + 1e-9
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet="abqwert12@P-09", max_size=14))
+def test_cost_is_that_of_the_cheapest_segmentation(value):
+    ranks = {**secret_scan.RANK, "wert": 40, "tre": 9, "bat": 3}
+    assert math.isclose(secret_scan.guess_cost(value, ranks), cost_by_force(value, ranks), abs_tol=1e-9)
+
+
+@pytest.mark.parametrize("value", ["password2024password", "P@ssw0rd1999-12-31", "qwertyuiopabcabcabc", "abcdefg7654321", "aaaa1111bbbb"])
+def test_cost_of_mixed_values(value):
+    assert math.isclose(secret_scan.guess_cost(value), cost_by_force(value, secret_scan.RANK), abs_tol=1e-9)
+
+
+def test_guess_spans_are_found_over_the_table(spark):
+    """Every span of the registered query beside the base kinds: a context's value, priced by all segmentations."""
+    words = queries.known_words()
+    docs = table(spark, SF, "documents").select("doc_id", "text").collect()
+    got = {r.doc_id: r.spans for r in queries.op5_secrets(spark, SF).collect()}
+    for doc, text in docs:
+        spans = [x.split(":") for x in got[doc].split(",") if x]
+        want = []
+        for m in secret_scan.CONTEXT.finditer(text or ""):
+            value = m[1].rstrip(".,;:)]}>")
+            if value and len(value) <= 40 and cost_by_force(value, words) >= secret_scan.DEFAULT_THRESHOLD:
+                want.append((m.start(1), m.start(1) + len(value)))
+        assert want == [(int(s), int(e)) for k, s, e in spans if k == "guess" and int(e) - int(s) <= 40]
 
 
 def test_redaction(spark):

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 U64 = np.uint64
@@ -141,6 +141,19 @@ def equal_words(a: Tokens, first: np.ndarray, b: Tokens, second: np.ndarray, siz
     return out
 
 
+def map_rows(docs: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> DataFrame:
+    """``docs.mapInArrow(run)`` with the columns of ``docs``, also where names hold dots, which ``mapInArrow`` would take
+    for fields of structs."""
+    names = docs.columns
+    plain = docs.toDF(*(f"c{i}" for i in range(len(names))))
+
+    def renamed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in run(b.rename_columns(names) for b in batches):
+            yield batch.rename_columns([f"c{i}" for i in range(len(names))])
+
+    return plain.mapInArrow(renamed, plain.schema).toDF(*names)
+
+
 def row_key(*columns: Column) -> list[Column]:
     """Two columns, ``r1`` and ``r2``, that tell rows apart by the given columns: 128 bits, as 64 would make two of ten
     billion rows equal."""

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracelake.llm.common import LOWER, WORD_LETTERS, Tokens, column, equal_words, pieces, row_key, spread, text_arrays
+from tracelake.llm.common import LOWER, WORD_LETTERS, Tokens, column, equal_words, map_rows, pieces, row_key, spread, text_arrays
 from tracelake.runtime import Scratch, ship_package
 
 WINDOW = 10
@@ -307,7 +307,7 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, text: str = "text", key
                     clean[tokens.doc[start]] = False
                     yield part.filter(pa.array(clean))
 
-        return docs.mapInArrow(run, docs.schema)
+        return map_rows(docs, run)
     dirty = verified_by_shuffle(docs, windows, Scratch(spark, "decontam"), text, key).select("r1", "r2")
     own = row_key(F.col(key).cast("long"), F.col(text))
     # the columns of docs travel in one struct, so that no name of theirs can clash with the key's

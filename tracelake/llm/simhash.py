@@ -14,7 +14,8 @@ distinct fingerprints, so that the key is long enough to keep unrelated ones apa
 
 Texts without words have fingerprint zero and link like any other. Nulls count as empty texts. A null identifier
 takes part in linking but is never the smallest of a component unless the component has no other. Repeated rows have
-equal fingerprints. An empty table gives an empty result. Other columns are ignored.
+equal fingerprints, and of ids that repeat the smallest counts once. An empty table gives an empty result. Other
+columns are ignored. Texts are never split: a task holds a batch of texts and the hashes of the longest one.
 """
 
 from __future__ import annotations
@@ -30,6 +31,7 @@ from pyspark.sql import functions as F
 
 from tracelake.llm.common import column, texts
 from tracelake.llm.components import connected_components
+from tracelake.llm.skew import skew_join
 from tracelake.runtime import Scratch, input_bytes, parts_for, ship_package
 
 BITS = 64
@@ -64,19 +66,16 @@ def fingerprint(text: bytes, k: int = 4) -> int:
     return int.from_bytes(np.packbits(counts * 2 > len(hashes)).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, k: int = 4, text: str = "text", key: str = "doc_id", row_key: bool = False) -> DataFrame:
-    """(doc_id, fp) per row of ``docs``, the fingerprint as a signed 64-bit integer; with ``row_key`` also ``row``, a
-    hash of id and text."""
+def fingerprints(docs: DataFrame, k: int = 4, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """(doc_id, fp) per row of ``docs``, the fingerprint as a signed 64-bit integer."""
     ship_package(docs.sparkSession)
-    more = ["row"] if row_key else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = np.array([fingerprint(t, k) for t in texts(batch)], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), pa.array(found), *(column(batch, c) for c in more)], ["doc_id", "fp", *more])
+            yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), pa.array(found)], ["doc_id", "fp"])
 
-    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"), *([F.xxhash64(F.col(key).cast("long"), F.col(text)).alias("row")] if row_key else []))
-    return rows.mapInArrow(run, "doc_id long, fp long" + ", row long" * row_key)
+    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, fp long")
 
 
 def scheme(n: int, radius: int = RADIUS) -> list[tuple[int, list[int]]]:
@@ -154,11 +153,12 @@ def _small_groups(group: np.ndarray, fps: np.ndarray, radius: int) -> tuple[np.n
 def links(classes: DataFrame, scratch: Scratch, radius: int = RADIUS, n: int | None = None, tile: int = TILE) -> DataFrame:
     """(a, b): pairs of distinct fingerprints within the radius that join every component."""
     spark = classes.sparkSession
-    keys = scheme(classes.count() if n is None else n, radius)
+    n = classes.count() if n is None else n
+    keys = scheme(n, radius)
     parts = parts_for(input_bytes(classes) * len(keys) * 3, 32 << 20, least=int(spark.conf.get("spark.sql.shuffle.partitions")))
     rows = keyed(classes, keys)
     crowded = rows.groupBy("k", "part").agg(F.count("*").alias("n")).where("n > 1")
-    met = rows.join(crowded, ["k", "part"])
+    met = skew_join(rows, crowded, ["k", "part"], counts=crowded, total=n * len(keys))
     split = F.ceil(F.col("n") / F.lit(tile)).cast("int")
     own = F.pmod(F.xxhash64("fp", F.lit(7)), split).cast("int")
     # a class of a large group goes to every pair of parts that holds its own part; small groups have one part
@@ -202,11 +202,12 @@ def links(classes: DataFrame, scratch: Scratch, radius: int = RADIUS, n: int | N
 
 def components(marked: DataFrame, scratch: Scratch, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
     """The rows of ``marked`` (with ``fp`` and ``doc_id``) and their component's ``root`` and smallest id."""
-    classes = scratch.keep(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
+    classes = scratch.keep(marked.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "classes")
     found = connected_components(links(classes.select("fp"), scratch, radius, tile=tile), scratch)
-    joined = classes.join(found.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    joined = scratch.keep(classes.join(found.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp")), "roots")
     least = joined.groupBy("root").agg(F.min("least").alias("component_id"))
-    return marked.join(joined.select("fp", "root").join(least, "root"), "fp")
+    named = scratch.keep(skew_join(joined.select("fp", "root", "n"), least, ["root"]), "named")
+    return skew_join(marked, named.drop("n"), ["fp"], counts=named.select("fp", "n"))
 
 
 def near_duplicates(docs: DataFrame, k: int = 4, radius: int = RADIUS, text: str = "text", key: str = "doc_id", tile: int = TILE) -> DataFrame:
@@ -216,20 +217,6 @@ def near_duplicates(docs: DataFrame, k: int = 4, radius: int = RADIUS, text: str
     return components(marked, scratch, radius, tile).select("doc_id", "fp", "component_id")
 
 
-ROW = "__tracelake_row"
-
-
-def keep_one(docs: DataFrame, k: int = 5, radius: int = RADIUS, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """``docs`` with one row of each component: that with the smallest id (null last), of equals the one whose text
-    has the smaller hash, of rows that repeat wholly any one. All columns stay."""
-    scratch = Scratch(docs.sparkSession, "simhash")
-    row = F.xxhash64(F.col(key).cast("long"), F.col(text))
-    marked = fingerprints(docs.select(F.col(key), F.col(text)), k, text, key, row_key=True)
-    rows = components(scratch.keep(marked, "fingerprints"), scratch, radius)
-    first = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("x")).select(F.col("x.row").alias(ROW))
-    return docs.withColumn(ROW, row).join(first, ROW, "left_semi").dropDuplicates([ROW]).drop(ROW)
-
-
 def shown(rows: DataFrame) -> DataFrame:
     """Fingerprints as 16 lower-case hex digits."""
     return rows.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

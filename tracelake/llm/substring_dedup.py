@@ -279,7 +279,7 @@ def _rows(found: np.ndarray) -> Iterator[pa.RecordBatch]:
 def repeated_edges(docs: DataFrame, scratch: Scratch, window: int, anchor: int, seed: int) -> DataFrame:
     """``FOUND`` over all of ``docs`` (see ``keyed``). Pieces travel as blobs, one per task's run and bucket."""
     spark = docs.sparkSession
-    buckets = parts_for(input_bytes(docs), 6 << 20, least=int(spark.conf.get("spark.sql.shuffle.partitions")))
+    buckets = parts_for(input_bytes(docs), 4 << 20, least=int(spark.conf.get("spark.sql.shuffle.partitions")))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
