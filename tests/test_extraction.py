@@ -24,12 +24,10 @@ def test_levels(spark):
     got = {r.span_id: [(x.event, x.text) for x in r.session_history] for r in extraction.trace_inputs(df).collect()}
     assert got["a"] == [("user", "hi"), ("tool", "skill")]
     assert got["b"] == [("user", "hi"), ("tool", "skill"), ("assistant", "hello"), ("user", "more"), ("tool", "bash"), ("tool", "skill")]
-    tools = {r.span_id: (r.position, r.available_tools) for r in extraction.tool_inputs(df).collect()}
-    assert tools == {"x": (0, "[1]"), "y": (1, "[1]"), "z": (2, "[1]")}
     level = {r.session_id: r for r in extraction.session_inputs(df).collect()}
     assert len(level["s"].contexts) == 2 and level["u"].error == "no agent span"
-    prompts = extraction.trace_inputs(df).select("span_id", extraction.user_prompt(F.col("session_history")).alias("p"), extraction.skipping_tools_prompt(F.col("session_history")).alias("q")).collect()
-    assert {(r.span_id, r.p, r.q) for r in prompts} == {("a", "", "hi"), ("b", "", "more")}
+    prompts = extraction.trace_inputs(df).select("span_id", extraction.user_prompt(F.col("session_history")).alias("p")).collect()
+    assert {(r.span_id, r.p) for r in prompts} == {("a", ""), ("b", "")}
 
 
 def test_skills(spark):
@@ -97,5 +95,5 @@ def test_case_prompts_hold_whole_texts(spark):
 
     sf = "/root/testdata/sf0.001"
     texts = {r.doc_id: r.text for r in table(spark, sf, "documents").where("text is not null").collect()}
-    prompts = {r.doc_id: r.prompt for r in more.case_prompts_whole(spark, sf).collect()}
+    prompts = {r.doc_id: r.prompt for r in more.case_prompts(spark, sf).collect()}
     assert max(map(len, texts.values())) > 1000 and all(f"<Output>{t}</Output>" in prompts[i] for i, t in texts.items())

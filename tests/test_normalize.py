@@ -4,7 +4,7 @@ import json
 
 from pyspark.sql import functions as F
 
-from tracelake.sources import normalize, spans
+from tracelake.sources import normalize, spans, variants
 
 
 def raw(spark, items):
@@ -72,7 +72,8 @@ def test_flattened_messages(spark):
         "llm__output_messages__0__message__role": "assistant", "llm__output_messages__0__message__content": "ok"})]
     r = normalize.normalize(raw(spark, items)).first()
     assert (r.dialect, r.span_type, r.user_prompt, r.agent_response) == ("openinference", "inference", "first", "ok")
-    assert [x.idx for x in normalize.indexed(raw(spark, items), "llm.input_messages").orderBy("idx").collect()] == [0, 1, 2]
+    listed = raw(spark, items).select(variants.messages(variants.attributes(), "llm.input_messages").alias("m")).first().m
+    assert [(m.idx, m.role) for m in listed] == [(0, "system"), (1, "user"), (2, "user")]
 
 
 def test_logs(spark):

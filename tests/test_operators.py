@@ -104,7 +104,7 @@ def test_effects_are_repeatable(spark):
     kept = [r.m for r in df.select(expansion.remove_fields(F.col("m"), 0.0, 1).alias("m")).collect()]
     assert len(kept[0]) == 2 and kept[1] == {}
     spoiled = [r.m for r in df.select(expansion.corrupt_values(F.col("m"), 0.5, 1).alias("m")).collect()]
-    assert sum(spoiled[0][k] != v for k, v in {"a": "1", "b": "2", "c": "3"}.items()) == 2
+    assert sum(spoiled[0][k] != f'"{v}"' for k, v in {"a": "1", "b": "2", "c": "3"}.items()) == 2
     assert [r.m for r in df.select(expansion.corrupt_values(F.col("m"), 0.5, 1).alias("m")).collect()] == spoiled
 
 

@@ -6,7 +6,7 @@ import numbers
 import duckdb
 import pytest
 
-from tracelake.plans import more, registry  # noqa: F401  both fill the registry
+from tracelake.plans import more, registry, runs, traces  # noqa: F401  all fill the registry
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -12,51 +12,72 @@ from tracelake.functions.scoring import confidence
 from tracelake.runtime import ship_package
 
 
+class ChunkFold:
+    """Spans packed in order below ``limit`` tokens, a span at a time; a call gives the chunks that it closes, as lists of
+    (span, tokens). A span of ``limit`` or more is a chunk of its own. A chunk after a full one starts with the last few
+    spans of that one, as many as leave ``least_new`` of the room, and the next span, free."""
+
+    def __init__(self, limit: int, overlap: int = 5, least_new: float = 0.5) -> None:
+        self.limit, self.overlap, self.room = limit, overlap, int(limit * (1 - least_new))
+        self.now: list[tuple[int, int]] = []
+        self.total = self.fresh = 0  # ``fresh``: spans of ``now`` that are not overlap
+
+    def close(self) -> list[list[tuple[int, int]]]:
+        done = [self.now] if self.fresh else []
+        self.now, self.total, self.fresh = [], 0, 0
+        return done
+
+    def add(self, span: int, n: int) -> list[list[tuple[int, int]]]:
+        if n >= self.limit:
+            return [*self.close(), [(span, n)]]
+        done: list[list[tuple[int, int]]] = []
+        if self.now and self.total + n > self.limit:
+            kept = self.now[-self.overlap :] if self.overlap else []
+            done = self.close()
+            total, start = sum(x for _, x in kept), 0
+            while start < len(kept) and (total > self.room or total + n > self.limit):
+                total, start = total - kept[start][1], start + 1
+            self.now, self.total = kept[start:], total
+        self.now.append((span, n))
+        self.total, self.fresh = self.total + n, self.fresh + 1
+        return done
+
+
 def plan_chunks(sizes: Sequence[int], limit: int, overlap: int = 5, least_new: float = 0.5) -> list[list[int]]:
-    """Indices per chunk: spans packed in order below ``limit`` tokens. A span of ``limit`` or more is a chunk of its
-    own. A chunk after a full one starts with the last few spans of that one, as many as leave ``least_new`` of the
-    room, and the next span, free."""
-    chunks: list[list[int]] = []
-    now: list[int] = []
-    fresh = 0  # spans of ``now`` that are not overlap
-
-    def total(part: list[int]) -> int:
-        return sum(sizes[i] for i in part)
-
-    for i, n in enumerate(sizes):
-        if n >= limit:
-            if fresh:
-                chunks.append(now)
-            chunks.append([i])
-            now, fresh = [], 0
-            continue
-        if now and total(now) + n > limit:
-            if fresh:
-                chunks.append(now)
-            now = now[-overlap:] if overlap else []
-            while now and (total(now) > int(limit * (1 - least_new)) or total(now) + n > limit):
-                now = now[1:]
-            fresh = 0
-        now = [*now, i]
-        fresh += 1
-    if fresh:
-        chunks.append(now)
-    return chunks
+    """Indices per chunk of a list of sizes."""
+    fold = ChunkFold(limit, overlap, least_new)
+    return [[i for i, _ in chunk] for chunk in [c for i, n in enumerate(sizes) for c in fold.add(i, n)] + fold.close()]
 
 
 def token_chunks(spans: DataFrame, session: str, pos: str, tokens: str, max_tokens: int, overhead: int = 0, share: float = 0.5, overlap: int = 5) -> DataFrame:
-    """(session, chunk, slot, pos): a session's spans in chunks; one session is one group, as its order decides."""
+    """(session, chunk, slot, pos): a session's spans in chunks. Order decides, so a session is one run of sorted rows of
+    a partition; they stream through the fold, which holds one chunk, whatever the session's length."""
     ship_package(spans.sparkSession)
     limit = int(max_tokens * share) - overhead
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("pos")
-        rows = [(key[0], c, s, pdf["pos"].iloc[i]) for c, part in enumerate(plan_chunks(pdf["tokens"].tolist(), limit, overlap)) for s, i in enumerate(part)]
-        return pd.DataFrame(rows, columns=["session", "chunk", "slot", "pos"])
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        fold, last, n_chunks, open_ = ChunkFold(limit, overlap), None, 0, False
+        for pdf in batches:
+            out: list[tuple] = []
+
+            def take(chunks: list[list[tuple[int, int]]], key) -> None:
+                nonlocal n_chunks
+                for chunk in chunks:
+                    out.extend((key, n_chunks, s, p) for s, (p, _) in enumerate(chunk))
+                    n_chunks += 1
+
+            for key, p, n in pdf.itertuples(index=False):
+                if not open_ or key != last:
+                    take(fold.close(), last)
+                    last, n_chunks, open_ = key, 0, True
+                take(fold.add(int(p), int(n)), key)
+            yield pd.DataFrame(out, columns=["session", "chunk", "slot", "pos"])
+        rest = fold.close()
+        yield pd.DataFrame([(last, n_chunks, s, p) for chunk in rest for s, (p, _) in enumerate(chunk)], columns=["session", "chunk", "slot", "pos"])
 
     narrow = spans.select(F.col(session).alias("session"), F.col(pos).cast("long").alias("pos"), F.col(tokens).cast("long").alias("tokens"))
     kind = narrow.schema["session"].dataType.simpleString()
-    return narrow.groupBy("session").applyInPandas(run, f"session {kind}, chunk int, slot int, pos long")
+    return narrow.repartition("session").sortWithinPartitions("session", "pos").mapInPandas(run, f"session {kind}, chunk int, slot int, pos long")
 
 
 def merge_failures(rows: DataFrame) -> DataFrame:
@@ -93,7 +114,7 @@ def index_windows(spans: DataFrame, trace: str, order: Sequence[str], least: int
 
 def recommendations(texts: Column) -> Column:
     """Distinct non-empty trimmed texts in their first order."""
-    return F.array_distinct(F.filter(F.transform(texts, F.trim), lambda x: x != ""))
+    return F.array_distinct(F.filter(F.transform(texts, lambda x: F.trim(x)), lambda x: x != ""))
 
 
 def group_spans(spans: DataFrame) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracelake.operators import hierarchy, history
+
 # --- levels ----------------------------------------------------------------------------------------------------------
 
 
@@ -34,12 +36,63 @@ def trace_inputs(spans: DataFrame) -> DataFrame:
     return out.select("session_id", "trace_id", F.col("owner").alias("span_id"), F.concat("before", F.coalesce("now", F.array().cast("array<struct<event_seq:int,event:string,text:string>>"))).alias("session_history"), "agent_response", "span_pos")
 
 
-def tool_inputs(spans: DataFrame) -> DataFrame:
-    """One row per tool span with the number of the session's tool spans up to it and the tools known so far."""
-    w = Window.partitionBy("session_id").orderBy("trace_seq", "span_pos")
-    defined = F.last("tool_definitions", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
+def trace_summaries(spans: DataFrame) -> DataFrame:
+    """One row per trace: prompt, response and tools of its root agent, the number of its agents and tool spans, and the
+    number of history entries that it leaves: a message for a prompt and for an answer, one list for all tool calls.
+    ``spans`` have trace_seq, has_content, start, and available_tools (an array) besides the usual columns."""
+    agents = spans.where("span_type = 'invoke_agent'").withColumn("trace_id", F.concat_ws("/", "session_id", "trace_seq"))
+    roots = hierarchy.root_span(agents).select("session_id", "trace_seq", F.col("user_prompt").alias("root_prompt"), F.col("agent_response").alias("root_response"), F.col("available_tools").alias("root_tools"))
     is_tool = F.col("span_type") == "execute_tool"
-    return spans.withColumns({"available_tools": defined, "position": F.sum(is_tool.cast("int")).over(w) - 1}).where(is_tool)
+    counts = spans.groupBy("session_id", "trace_seq").agg(F.count_if(is_tool).alias("n_tools"), F.count_if(F.col("span_type") == "invoke_agent").alias("n_agents"))
+    out = counts.join(roots, ["session_id", "trace_seq"], "left")
+    said = lambda c: (F.coalesce(F.col(c), F.lit("")) != "").cast("int")
+    return out.withColumns({"entries": said("root_prompt") + (F.col("n_tools") > 0).cast("int") + said("root_response"), "has_prompt": said("root_prompt")})
+
+
+def tool_inputs(spans: DataFrame) -> DataFrame:
+    """One row per tool span: how many history entries it sees (those of earlier traces, then the root agent's prompt of
+    its own), how many calls of its own trace ended before it began, and its tools. Those are the last that a root agent
+    had so far; where a trace has several agents, those of the span's owner, or none.
+
+    History is given by its length and by ``history_before``, the number of entries of earlier traces, so that no row
+    carries the session; ``tool_histories`` spells it out for rows that reach a judge. Columns besides those of
+    ``trace_summaries``: span_pos, start, end, owner.
+    """
+    t = trace_summaries(spans)
+    w = Window.partitionBy("session_id").orderBy("trace_seq")
+    known = F.last(F.when(F.size("root_tools") > 0, F.col("root_tools")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    before = F.coalesce(F.sum("entries").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    t = t.withColumns({"known_tools": known, "history_before": before}).select("session_id", "trace_seq", "n_agents", "has_prompt", "known_tools", "history_before")
+    tools = spans.where("span_type = 'execute_tool'")
+    timed = tools.withColumn("pos", F.row_number().over(Window.partitionBy("session_id", "trace_seq").orderBy("span_pos")))
+    prior = history.prior_executions(timed, ["session_id", "trace_seq"])
+    rows = timed.join(prior, ["session_id", "trace_seq", "pos"]).join(t, ["session_id", "trace_seq"])
+    owners = spans.where("span_type = 'invoke_agent'").select("session_id", "trace_seq", F.col("span_id").alias("owner"), F.col("available_tools").alias("own_tools"))
+    rows = rows.drop("available_tools").join(owners, ["session_id", "trace_seq", "owner"], "left")
+    none = F.array().cast("array<string>")
+    several = F.col("owner").isNotNull() & (F.col("n_agents") > 1)
+    own = F.coalesce(F.when(F.size("own_tools") > 0, F.col("own_tools")), none)
+    position = F.row_number().over(Window.partitionBy("session_id").orderBy("trace_seq", "span_pos")) - 1
+    return rows.withColumns({
+        "available_tools": F.when(several, own).otherwise(F.coalesce("known_tools", none)), "position": position,
+        "history_size": F.col("history_before") + F.col("has_prompt") + (F.col("prior") > 0).cast("int")})
+
+
+def tool_histories(inputs: DataFrame, spans: DataFrame) -> DataFrame:
+    """``inputs`` (rows of ``tool_inputs``, few enough to be judged) with ``session_history``: the entries of earlier traces
+    and the own prompt, as (trace_seq, rank, event, texts)."""
+    t = trace_summaries(spans)
+    calls = spans.where("span_type = 'execute_tool'").groupBy("session_id", "trace_seq").agg(F.transform(F.array_sort(F.collect_list(F.struct("span_pos", "tool_name"))), lambda x: x["tool_name"]).alias("calls"))
+    told = t.join(calls, ["session_id", "trace_seq"], "left")
+    entry = lambda rank, event, texts, there: F.when(there, F.struct("trace_seq", F.lit(rank).alias("rank"), F.lit(event).alias("event"), texts.alias("texts")))
+    said = lambda c: F.coalesce(F.col(c), F.lit("")) != ""
+    rows = F.array_compact(F.array(
+        entry(0, "user", F.array("root_prompt"), said("root_prompt")), entry(1, "tools", F.col("calls"), F.col("n_tools") > 0), entry(2, "assistant", F.array("root_response"), said("root_response"))))
+    events = told.select("session_id", F.explode(rows).alias("e"))
+    wanted = inputs.select("session_id", "span_id", "trace_seq").join(events, "session_id")
+    seen = wanted.where((F.col("e.trace_seq") < F.col("trace_seq")) | ((F.col("e.trace_seq") == F.col("trace_seq")) & (F.col("e.rank") == 0)))
+    listed = seen.groupBy("session_id", "span_id").agg(F.array_sort(F.collect_list("e")).alias("session_history"))
+    return inputs.join(listed, ["session_id", "span_id"], "left")
 
 
 def session_inputs(spans: DataFrame) -> DataFrame:
@@ -57,10 +110,6 @@ def user_prompt(history: Column) -> Column:
     return F.when(last["event"] != "tool", last["text"]).otherwise("")
 
 
-def skipping_tools_prompt(history: Column) -> Column:
-    return F.try_element_at(F.filter(history, lambda x: x["event"] == "user"), F.lit(-1))["text"]
-
-
 # --- message histories -------------------------------------------------------------------------------------------------
 
 BLOCKS = "array<struct<text:string,toolUse:struct<name:string,toolUseId:string,input:variant>,toolResult:struct<toolUseId:string,status:string,content:array<struct<text:string>>>>>"
@@ -86,10 +135,17 @@ def tools_used(messages: DataFrame) -> DataFrame:
 
 # --- skills ----------------------------------------------------------------------------------------------------------
 
-SKILL_BLOCK = r"(?s)<available_skills>(.*?)</available_skills>"
-SKILL_ITEM = r"(?s)<skill>.*?</skill>"
-SKILL_PATH = r"([^/\s'\"]+)/SKILL\.md"
-READ_VERBS = ("cat", "head", "tail", "less", "more", "sed", "bat", "nl")
+#: Catalogues of skills in prompts, the paths of skill files, and how shells are wrapped (formats, fixed values).
+SKILL_BLOCK = r"(?si)<available_skills>(.*?)</available_skills>"
+SKILL_ITEM = r"(?si)<skill>(.*?)</skill>"
+SKILL_MARKDOWN = r"(?sim)^### Available skills\s*$\n(.*?)(?=^###\s|\z)"
+SKILL_MARKDOWN_ITEM = r"(?m)^\s*-\s+[^:\n]+:\s*.*?\s*$"
+SKILL_PATH_TEXT = r"""(?i)"([^"\n]*SKILL\.md)"|'([^'\n]*SKILL\.md)'|([^\s"'=;|<>]*SKILL\.md)"""
+SHELL_WRAPPER = r"""(?s)^\s*(?:\S*/)?(?:ba|da|k|z)?sh\s+(?:-\w+\s+)*(['"])(.*)\1\s*$"""
+SHELL_SEPARATOR = r"\|\||&&|[;|\n]"
+SHELL_PREFIX = r"(?i)^(?:(?:sudo|env|command|time|nohup|\S+=\S*)\s+)+"
+SED_IN_PLACE = r"(?:^|\s)(?:-i\S*|--in-place\b)"
+READ_VERBS = ("cat", "sed", "head", "tail", "bat", "less", "type", "get-content")
 
 
 def canonical(name: Column) -> Column:
@@ -97,28 +153,60 @@ def canonical(name: Column) -> Column:
     return F.translate(F.lower(F.trim(F.element_at(F.split(name, "/"), -1))), "_ ", "--")
 
 
+def _unescaped(text: Column) -> Column:
+    for mark, sign in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&#x27;", "'"), ("&amp;", "&")):
+        text = F.replace(text, F.lit(mark), F.lit(sign))
+    return text
+
+
+def catalogue_items(text: Column) -> Column:
+    """(name, description) of the skills that a prompt lists, as an array: those of a marked-up block, whatever it holds,
+    else those of a Markdown section. Entries without a name are left out; file locators go from descriptions."""
+    block = F.regexp_extract(text, SKILL_BLOCK, 1)
+    field = lambda x, n: F.trim(F.regexp_extract(x, f"(?si)<{n}>(.*?)</{n}>", 1))
+    item = lambda name, said: F.struct(name.alias("name"), said.alias("description"))
+    marked = F.filter(F.regexp_extract_all(block, F.lit(SKILL_ITEM), 1), lambda x: x.rlike("(?si)<name>.*?</name>"))
+    marked = F.transform(marked, lambda x: item(_unescaped(field(x, "name")), _unescaped(field(x, "description"))))
+    lines = F.regexp_extract_all(F.regexp_extract(text, SKILL_MARKDOWN, 1), F.lit(SKILL_MARKDOWN_ITEM), 0)
+    part = lambda x, i: F.trim(F.regexp_extract(x, r"(?s)^\s*-\s+([^:\n]+):\s*(.*?)\s*$", i))
+    plain = F.transform(lines, lambda x: item(part(x, 1), F.trim(F.regexp_replace(part(x, 2), r"(?i)\s+\(file:\s*.+?\)\s*$", ""))))
+    return F.filter(F.when(text.rlike(SKILL_BLOCK), marked).otherwise(plain), lambda x: x["name"] != "")
+
+
 def available_skills(prompts: DataFrame) -> DataFrame:
-    """(session_id, name, description) of the first system prompt whose block is not empty. prompts: session_id, pos, text."""
-    items = F.regexp_extract_all(F.regexp_extract("text", SKILL_BLOCK, 1), F.lit(SKILL_ITEM), 0)
-    field = lambda x, n: F.trim(F.regexp_extract(x, f"(?s)<{n}>(.*?)</{n}>", 1))
-    plain = lambda c: F.replace(F.replace(F.replace(F.replace(c, F.lit("&lt;"), F.lit("<")), F.lit("&gt;"), F.lit(">")), F.lit("&quot;"), F.lit('"')), F.lit("&amp;"), F.lit("&"))
-    found = prompts.withColumn("items", items).where(F.size("items") > 0).groupBy("session_id").agg(F.min_by("items", "pos").alias("items"))
-    return found.select("session_id", F.posexplode("items").alias("pos", "item")).select("session_id", "pos", plain(field(F.col("item"), "name")).alias("name"), plain(field(F.col("item"), "description")).alias("description")).where("name <> ''")
+    """(session_id, pos, name, description) of the first system prompt that lists any. prompts: session_id, pos, text."""
+    found = prompts.withColumn("items", catalogue_items(F.col("text"))).where("size(items) > 0")
+    first = found.groupBy("session_id").agg(F.min_by("items", "pos").alias("items"))
+    return first.select("session_id", F.posexplode("items").alias("pos", "x")).select("session_id", "pos", "x.name", "x.description")
 
 
 def advertised(prompts: DataFrame) -> DataFrame:
-    """Whether any prompt holds a catalogue at all, empty or not."""
-    return prompts.groupBy("session_id").agg(F.bool_or(F.col("text").rlike("<available_skills>")).alias("advertised"))
+    """Whether any prompt holds a catalogue at all, empty or not, in either form."""
+    there = F.col("text").rlike(SKILL_BLOCK) | F.col("text").rlike(SKILL_MARKDOWN)
+    return prompts.groupBy("session_id").agg(F.coalesce(F.bool_or(there), F.lit(False)).alias("advertised"))
+
+
+def skill_path(text: Column) -> Column:
+    """The first path of a skill file in a text, in quotes or not; null without one."""
+    group = lambda i: F.nullif(F.regexp_extract(text, SKILL_PATH_TEXT, i), F.lit(""))
+    return F.coalesce(group(1), group(2), group(3))
+
+
+def shell_read(command: Column) -> Column:
+    """The path of the skill file that a shell command reads, or null. A wrapper's inner command counts, command by
+    command; what only is written to, edited in place, or named by another command is not read."""
+    inner = F.when(command.rlike(SHELL_WRAPPER), F.regexp_extract(command, SHELL_WRAPPER, 2)).otherwise(command)
+    heads = F.transform(F.split(inner, SHELL_SEPARATOR), lambda p: F.regexp_replace(F.ltrim(F.element_at(F.split(p, ">"), 1)), SHELL_PREFIX, ""))
+    verb = lambda h: F.lower(F.element_at(F.split(F.element_at(F.split(h, r"\s+"), 1), "/"), -1))
+    reads = F.filter(heads, lambda h: verb(h).isin(*READ_VERBS) & ~((verb(h) == "sed") & h.rlike(SED_IN_PLACE)))
+    paths = F.filter(F.transform(reads, lambda h: skill_path(F.regexp_replace(h, r"^\S+", ""))), lambda p: p.isNotNull())
+    return F.try_element_at(paths, F.lit(1))
 
 
 def skill_read(command: Column) -> Column:
-    """The skill whose file a shell command reads, or null: wrappers are stripped; an edit in place or a file that is
-    only written to is no read."""
-    inner = F.coalesce(F.nullif(F.regexp_extract(command, r"""(?s)^\s*(?:\S*/)?(?:ba|z)?sh\s+-l?c\s+["']?(.*?)["']?\s*$""", 1), F.lit("")), command)
-    parts = F.transform(F.split(inner, r"&&|\|\||;|\||\n"), lambda p: F.regexp_replace(F.trim(p), r"^(?:sudo|command|env)\s+", ""))
-    verb = r"^(?:\S*/)?(?:" + "|".join(READ_VERBS) + r")\s"
-    reads = F.filter(parts, lambda p: p.rlike(verb) & ~p.rlike(r"^sed\s+(?:\S+\s+)*-i") & F.regexp_replace(p, r">+\s*\S+", "").rlike(SKILL_PATH))
-    return F.nullif(F.regexp_extract(F.regexp_replace(F.try_element_at(reads, F.lit(1)), r">+\s*\S+", ""), SKILL_PATH, 1), F.lit(""))
+    """The name of the skill whose file a shell command reads: the file's directory, or null."""
+    parent = F.try_element_at(F.split(F.translate(shell_read(command), "\\", "/"), "/"), F.lit(-2))
+    return F.when(~parent.isin("", ".", ".."), parent)
 
 
 def skill_events(tool_spans: DataFrame, skill_tools: tuple[str, ...] = ("skill", "load_skill", "skills")) -> DataFrame:

@@ -7,6 +7,8 @@ never resolve and have no ancestor.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,18 +23,25 @@ def nearest_ancestor(spans: DataFrame, stop: Column, of: Column | None = None) -
     ``spans`` has trace_id, span_id, parent_span_id."""
     scratch = Scratch(spans.sparkSession, "ancestors")
     kind = spans.schema["span_id"].dataType
-    tree = spans.where("span_id is not null").select("trace_id", "span_id", "parent_span_id", F.coalesce(stop, F.lit(False)).alias("stops"), F.coalesce(F.lit(True) if of is None else of, F.lit(False)).alias("asked"))
+    asked = F.coalesce(F.lit(True) if of is None else of, F.lit(False)).alias("asked")
+    tree = scratch.keep(spans.where("span_id is not null").select("trace_id", "span_id", "parent_span_id", F.coalesce(stop, F.lit(False)).alias("stops"), asked), "tree")
     above = tree.select("trace_id", F.col("span_id").alias("parent_span_id"), F.col("stops").alias("parent_stops"))
     now = tree.join(above, ["trace_id", "parent_span_id"], "left").select(
         "trace_id", "span_id", "asked", F.when(~F.col("parent_stops"), F.col("parent_span_id")).alias("pointer"), F.when(F.col("parent_stops"), F.col("parent_span_id")).alias("ancestor")
     )
-    now = scratch.keep(now, "round")  # a span is open while it has a pointer
+    now = scratch.keep(now, "round")
+    done: list[DataFrame] = []  # spans without a pointer, by the round that closed them; a round writes open ones only
     for _ in range(MOST_ROUNDS):
-        if now.where("pointer is not null").isEmpty():
+        done.append(now.where("pointer is null"))
+        open_ = now.where("pointer is not null")
+        if open_.isEmpty():
             break
-        step = now.select("trace_id", F.col("span_id").alias("pointer"), F.col("pointer").alias("next"), F.col("ancestor").alias("found"))
-        now = scratch.keep(now.join(step, ["trace_id", "pointer"], "left").select("trace_id", "span_id", "asked", F.col("next").alias("pointer"), F.coalesce("ancestor", "found").alias("ancestor")), "round")
-    return now.where("asked").select("trace_id", "span_id", F.col("ancestor").cast(kind).alias("ancestor"))
+        known = reduce(DataFrame.unionByName, [*done, open_])
+        step = known.select("trace_id", F.col("span_id").alias("pointer"), F.col("pointer").alias("next"), F.col("ancestor").alias("found"))
+        now = scratch.keep(open_.join(step, ["trace_id", "pointer"], "left").select("trace_id", "span_id", "asked", F.col("next").alias("pointer"), F.coalesce("ancestor", "found").alias("ancestor")), "round")
+    else:
+        done.append(now)  # spans on a cycle
+    return reduce(DataFrame.unionByName, done).where("asked").select("trace_id", "span_id", F.col("ancestor").cast(kind).alias("ancestor"))
 
 
 def bridge_parents(spans: DataFrame, kept: Column) -> DataFrame:
@@ -61,25 +70,29 @@ def failure_paths(spans: DataFrame, failing: DataFrame, most_below: int = 10) ->
     """(trace_id, span_id) of failing spans, all their ancestors, and the first ``most_below`` spans below each in
     order of depth and place. ``failing`` has trace_id and span_id."""
     scratch = Scratch(spans.sparkSession, "paths")
-    tree = spans.where("span_id is not null").select("trace_id", "span_id", "parent_span_id", "span_pos")
-    seeds = tree.join(failing.select("trace_id", "span_id").distinct(), ["trace_id", "span_id"])
+    tree = scratch.keep(spans.where("span_id is not null").select("trace_id", "span_id", "parent_span_id", "span_pos"), "tree")
+    seeds = scratch.keep(tree.join(failing.select("trace_id", "span_id").distinct(), ["trace_id", "span_id"]), "seeds")
+    tree = tree.join(seeds.select("trace_id").distinct(), "trace_id", "left_semi")
     kept = seeds.select("trace_id", "span_id")
     # pointers 1, 2, 4, ... levels up: a round without a new ancestor is the last one, on cycles as well
     above = tree.select("trace_id", F.col("span_id").alias("parent_span_id"), F.col("span_id").alias("up"))
-    jump = tree.join(seeds.select("trace_id").distinct(), "trace_id", "left_semi").join(above, ["trace_id", "parent_span_id"]).select("trace_id", "span_id", "up").distinct()
+    jump = scratch.keep(tree.join(above, ["trace_id", "parent_span_id"]).select("trace_id", "span_id", "up").distinct(), "jump")
     while True:
         found = kept.join(jump, ["trace_id", "span_id"]).select("trace_id", F.col("up").alias("span_id")).distinct()
         found = scratch.keep(found.join(kept, ["trace_id", "span_id"], "left_anti"), "up")
         if found.isEmpty():
             break
-        kept = kept.unionByName(found)
+        kept = scratch.keep(kept.unionByName(found), "kept")
         step = jump.select("trace_id", F.col("span_id").alias("up"), F.col("up").alias("next"))
         jump = scratch.keep(jump.join(step, ["trace_id", "up"]).select("trace_id", "span_id", F.col("next").alias("up")).distinct(), "jump")
     below = None
     down = seeds.select("trace_id", F.col("span_id").alias("seed"), F.col("span_id").alias("at"))
     for depth in range(1, most_below + 1):  # the tenth descendant lies ten levels below at most
         level = tree.select("trace_id", "span_id", F.col("parent_span_id").alias("at"), "span_pos").join(down, ["trace_id", "at"]).where("span_id <> seed")
-        level = scratch.keep(level.select("trace_id", "seed", "span_id", "span_pos", F.lit(depth).alias("depth")), "down")
+        # beyond the first few of a level nothing counts, nor what lies below them
+        few = F.row_number().over(Window.partitionBy("trace_id", "seed").orderBy("span_pos", "span_id")) <= most_below
+        level = level.select("trace_id", "seed", "span_id", "span_pos", F.lit(depth).alias("depth")).withColumn("few", few).where("few").drop("few")
+        level = scratch.keep(level, "down")
         if level.isEmpty():
             break
         below = level if below is None else below.unionByName(level)

@@ -80,6 +80,13 @@ def bounded_result(rows: DataFrame, keys: Sequence[str], is_call: Column, is_res
     return marked.where(is_call).select(*keys, "pos", F.when(inside, F.col("__next_result")).alias("result_pos"))
 
 
+def handoffs(nodes: DataFrame) -> DataFrame:
+    """(session, pos, source, target): each node of a run hands over to the one after it; the last hands over to none.
+    nodes: session, pos, node."""
+    after = F.lead("node").over(Window.partitionBy("session").orderBy("pos"))
+    return nodes.select("session", "pos", F.col("node").alias("source"), after.alias("target"))
+
+
 def incoming(nodes: DataFrame, handoffs: DataFrame) -> DataFrame:
     """Each node's senders in order, repeats kept, as joined text. handoffs: session, pos, source, target."""
     got = handoffs.where("target is not null").groupBy("session", F.col("target").alias("node")).agg(
@@ -94,6 +101,19 @@ def tool_metrics(calls: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
 
 
+def swarm_handoffs(results: DataFrame, tool: str = "handoff_to_agent") -> DataFrame:
+    """A row per handoff among a node's tool metrics, or one without a target. results: session, pos, node, and calls, an
+    array of (tool, target)."""
+    hits = F.filter("calls", lambda c: c["tool"] == tool)
+    return results.select("session", "pos", F.col("node").alias("source"), F.explode_outer(hits).alias("c")).select("session", "pos", "source", F.col("c.target").alias("target"))
+
+
+def graph_interactions(nodes: DataFrame) -> DataFrame:
+    """Interactions of a graph run in the order of execution; nodes without a result are left out. nodes: session, place,
+    node, dependencies, messages, result."""
+    return nodes.where("result is not null").select("session", "place", "node", F.coalesce("dependencies", F.array().cast("array<string>")).alias("dependencies"), "messages")
+
+
 def conversation(messages: DataFrame, session: str, pos: str) -> DataFrame:
     """``ROLE: text`` blocks of a session in order, empty ones skipped."""
     said = F.when(F.trim(F.coalesce("text", F.lit(""))) != "", F.struct(F.col(pos), F.concat(F.upper("role"), F.lit(": "), F.col("text")).alias("said")))

@@ -28,15 +28,10 @@ def judge_attack_success(spark, sf_dir):
     return judging.scored(table(spark, sf_dir, "events").select("event_id", (F.col("value") / 50 - 0.1).alias("score")), "attack_success").select("event_id", "score", "test_pass")
 
 
-@register("select doc_id, '<Output>' || left(text, 50) || '</Output>' || chr(10) || case when lang = 'en' then '<ExpectedOutput>' || source || '</ExpectedOutput>' || chr(10) else '' end || '<ExpectedAssertion>' || lang || '</ExpectedAssertion>' as prompt from documents")
+@register(
+    """select doc_id, '<Output>' || text || '</Output>' || chr(10) || case when lang = 'en' then '<ExpectedOutput>' || source || '</ExpectedOutput>' || chr(10) else '' end || '<ExpectedAssertion>' || lang || '</ExpectedAssertion>' as prompt from documents"""
+)
 def case_prompts(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("doc_id", F.left("text", F.lit(50)).alias("actual_output"), F.when(F.col("lang") == "en", F.col("source")).alias("expected_output"), F.col("lang").alias("expected_assertion"))
-    return d.select("doc_id", judging.case_prompt(include_input=False).alias("prompt"))
-
-
-@register("select doc_id, '<Output>' || text || '</Output>' || chr(10) || case when lang = 'en' then '<ExpectedOutput>' || source || '</ExpectedOutput>' || chr(10) else '' end || '<ExpectedAssertion>' || lang || '</ExpectedAssertion>' as prompt from documents")
-def case_prompts_whole(spark, sf_dir):
-    """``case_prompts`` over whole texts."""
     d = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("actual_output"), F.when(F.col("lang") == "en", F.col("source")).alias("expected_output"), F.col("lang").alias("expected_assertion"))
     return d.select("doc_id", judging.case_prompt(include_input=False).alias("prompt"))
 

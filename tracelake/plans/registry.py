@@ -11,9 +11,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracelake.functions import scoring
-from tracelake.operators import detection, expansion, hierarchy, history, reports
+from tracelake.operators import detection, expansion, experiments, hierarchy, history, reports
 from tracelake.plans import adapters as A
 from tracelake.runtime import table
+from tracelake.sources import variants
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -82,7 +83,8 @@ def traj_any_order(spark, sf_dir):
 
 @register("select session, trace_id, bool_or(tool = 'purchase') as test_pass from calls group by session, trace_id", A.CALLS_SQL)
 def tool_called(spark, sf_dir):
-    return A.calls(spark, sf_dir).groupBy("session", "trace_id").agg(F.bool_or(F.col("tool") == "purchase").alias("test_pass"))
+    steps = A.calls(spark, sf_dir).groupBy("session", "trace_id").agg(F.collect_list("tool").alias("steps"))
+    return steps.select("session", "trace_id", experiments.tool_called(F.col("steps"), "purchase")["test_pass"].alias("test_pass"))
 
 
 # --- outputs ---------------------------------------------------------------------------------------------------------
@@ -112,8 +114,8 @@ def output_starts_with(spark, sf_dir):
 def state_equals(spark, sf_dir):
     states = F.array_sort(F.collect_list(F.struct("pos", F.lit("last").alias("name"), F.col("tool").alias("state"))))
     s = A.calls(spark, sf_dir).groupBy("session").agg(states.alias("states"))
-    first = F.try_element_at(F.filter("states", lambda x: x["name"] == "last"), F.lit(1))["state"]
-    return s.select("session", first.alias("state"), F.coalesce(first == "view", F.lit(False)).alias("test_pass"))
+    first = experiments.state_of(F.col("states"), "last")
+    return s.select("session", first.alias("state"), experiments.state_equals(first, F.lit("view"))["test_pass"].alias("test_pass"))
 
 
 # --- reports ---------------------------------------------------------------------------------------------------------
@@ -150,7 +152,7 @@ _REPORT = """report as (select case_name, row_pos % 5 as evaluator_pos, avg(scor
   not bool_and(coalesce(label = 'not_applicable', false) and test_pass) as applicable from judged group by case_name, row_pos % 5)"""
 
 
-def _report(spark, sf_dir):
+def report_rows(spark, sf_dir):
     rows = A.judged(spark, sf_dir).withColumn("evaluator_pos", F.col("row_pos") % 5)
     keys = ["case_name", "evaluator_pos"]
     done = rows.groupBy(*keys).agg(F.avg("score").alias("score"), F.bool_and("test_pass").alias("test_pass"))
@@ -159,12 +161,12 @@ def _report(spark, sf_dir):
 
 @register("select case_name, evaluator_pos, applicable from report", A.JUDGED_SQL, _REPORT)
 def applicability(spark, sf_dir):
-    return _report(spark, sf_dir).select("case_name", "evaluator_pos", "applicable")
+    return report_rows(spark, sf_dir).select("case_name", "evaluator_pos", "applicable")
 
 
 @register("select round(coalesce(avg(score) filter (where applicable), 0.0), 9) as overall_score, count(*) filter (where test_pass) as passed, count(*) as total from report", A.JUDGED_SQL, _REPORT)
 def overall_score(spark, sf_dir):
-    return reports.overall(_report(spark, sf_dir)).withColumn("overall_score", F.round("overall_score", 9))
+    return reports.overall(report_rows(spark, sf_dir)).withColumn("overall_score", F.round("overall_score", 9))
 
 
 @register(
@@ -172,7 +174,7 @@ def overall_score(spark, sf_dir):
     A.JUDGED_SQL, _REPORT,
 )
 def report_by_evaluator(spark, sf_dir):
-    r = reports.overall(_report(spark, sf_dir), ["evaluator_pos"])
+    r = reports.overall(report_rows(spark, sf_dir), ["evaluator_pos"])
     return r.withColumn("pass_rate", F.round(F.try_divide(F.col("passed").cast("double"), F.col("total")), 9)).withColumn("overall_score", F.round("overall_score", 9))
 
 
@@ -181,7 +183,7 @@ def report_by_evaluator(spark, sf_dir):
     case when coalesce(avg(score) filter (where applicable), 0.0) < 0.9 then 1 else 0 end as exit_code from report""", A.JUDGED_SQL, _REPORT,
 )
 def exit_rule(spark, sf_dir):
-    return reports.exit_code(_report(spark, sf_dir), "threshold", 0.9).withColumn("overall_score", F.round("overall_score", 9))
+    return reports.exit_code(report_rows(spark, sf_dir), "threshold", 0.9).withColumn("overall_score", F.round("overall_score", 9))
 
 
 @register(
@@ -201,7 +203,7 @@ def flatten_reports(spark, sf_dir):
 )
 def score_labels(spark, sf_dir):
     mapping = spark.createDataFrame([(1.0, "Good"), (0.5, "Fair"), (0.0, "Poor")], "score double, label string")
-    return reports.label_scores(_report(spark, sf_dir), mapping).select("case_name", "evaluator_pos", "label")
+    return reports.label_scores(report_rows(spark, sf_dir), mapping).select("case_name", "evaluator_pos", "label")
 
 
 @register("select source as case_name, count(*) as n from documents group by source having count(*) > 1")
@@ -312,14 +314,22 @@ def _fields(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", F.create_map(F.lit("name"), "p_name", F.lit("brand"), "p_brand", F.lit("type"), "p_type").alias("m"))
 
 
-@register()
+_FIELDS = """fields as (select p_partkey, unnest(['name', 'brand', 'type']) as k, unnest([p_name, p_brand, p_type]) as v, unnest([1, 2, 3]) as place from part),
+drawn as (select *, row_number() over (partition by p_partkey order by md5('7:' || k)) <= 2 as hit from fields)"""
+
+
+@register("select p_partkey, '{' || string_agg(to_json(k)::varchar || ':' || to_json(v)::varchar, ',' order by place) || '}' as value from drawn where not hit group by p_partkey", _FIELDS)
 def chaos_remove_fields(spark, sf_dir):
     return _fields(spark, sf_dir).select("p_partkey", F.to_json(expansion.remove_fields(F.col("m"), 0.5, 7)).alias("value"))
 
 
-@register()
+@register(
+    """select p_partkey, string_agg(k || '=' || case when hit then ['null', '99999', '""', 'true', '[]', '"CORRUPTED_DATA"'][(instr('0123456789abcdef', left(md5('7:' || k || ':v'), 1)) - 1) % 6 + 1] else to_json(v)::varchar end, ';' order by place) as value
+    from drawn group by p_partkey""", _FIELDS,
+)
 def chaos_corrupt_values(spark, sf_dir):
-    return _fields(spark, sf_dir).select("p_partkey", F.to_json(expansion.corrupt_values(F.col("m"), 0.5, 7)).alias("value"))
+    spoilt = F.map_entries(expansion.corrupt_values(F.col("m"), 0.5, 7))
+    return _fields(spark, sf_dir).select("p_partkey", F.array_join(F.transform(spoilt, lambda e: F.concat_ws("=", e["key"], e["value"])), ";").alias("value"))
 
 
 @register(
@@ -363,9 +373,6 @@ def tools_used_metrics(spark, sf_dir):
     return history.tool_metrics(A.calls(spark, sf_dir), ["session", "tool"]).withColumn("total_time", F.round("total_time", 6))
 
 
-_KEYED = "keyed as (select *, props as k from calls)"
-
-
 @register(
     """select c.session, c.props, c.pos, min(r.pos) as result_pos from calls c left join calls r on c.session = r.session and c.props = r.props and r.tool in ('purchase', 'error') and r.pos > c.pos
     where c.tool = 'click' group by c.session, c.props, c.pos""", A.CALLS_SQL,
@@ -399,10 +406,8 @@ def asof_result(spark, sf_dir):
     A.CALLS_SQL,
 )
 def handoff_dependencies(spark, sf_dir):
-    from pyspark.sql import Window
-
     c = A.calls(spark, sf_dir)
-    hand = c.select("session", "pos", F.col("tool").alias("source"), F.lead("tool").over(Window.partitionBy("session").orderBy("pos")).alias("target"))
+    hand = history.handoffs(c.select("session", "pos", F.col("tool").alias("node")))
     return history.incoming(c.select("session", F.col("tool").alias("node")).distinct(), hand)
 
 
@@ -479,7 +484,20 @@ def token_estimate(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", n.alias("tokens"), scoring.exceeds_context(n, 1000).alias("exceeds"))
 
 
-@register()
+@register(
+    """with recursive d as (select source, doc_id, case when length(text) = 0 then 0 else greatest(1, length(text) // 3) end::bigint as n, row_number() over (partition by source order by doc_id) as i from documents),
+    f as (select source, 0::bigint as i, null::bigint as doc_id, 0::bigint as chunk, 0::bigint as slot, []::bigint[] as ids, []::bigint[] as sizes, 0::bigint as fresh, []::bigint[] as again, 0::bigint as next from d group by source
+    union all select source, i, doc_id, chunk, slot, case when big then [] else list_append(kept, doc_id) end, case when big then [] else list_append(kept_n, n) end, case when big then 0 else fresh + 1 end, case when big or slot > len(kept) or fresh > 0 then [] else kept end,
+      case when big then chunk + 1 else chunk end from (
+      select source, i, doc_id, n, big, fresh, kept, kept_n, chunk, case when big then 0 else len(kept) end as slot from (
+        select *, case when big then [] when full_ then list_slice(ids, len(ids) - keep + 1, len(ids)) else ids end as kept, case when big then [] when full_ then list_slice(sizes, len(sizes) - keep + 1, len(sizes)) else sizes end as kept_n,
+          case when big or full_ then 0 else old_fresh end as fresh, case when (big or full_) and old_fresh > 0 then next + 1 else next end as chunk from (
+          select f.source, d.i, d.doc_id, d.n, f.ids, f.sizes, f.fresh as old_fresh, f.next, d.n >= 10000 as big, len(f.ids) > 0 and list_sum(f.sizes) + d.n > 10000 as full_,
+            (select coalesce(max(k), 0) from range(0, 6) as t(k) where k <= len(f.ids) and (k = 0 or (list_sum(list_slice(f.sizes, len(f.sizes) - k + 1, len(f.sizes))) <= 5000 and list_sum(list_slice(f.sizes, len(f.sizes) - k + 1, len(f.sizes))) + d.n <= 10000))) as keep
+          from f join d on d.source = f.source and d.i = f.i + 1))))
+    select source as session, cast(chunk as int) as chunk, cast(slot as int) as slot, doc_id as pos from f where doc_id is not null
+    union all select source, cast(chunk as int), cast(unnest(range(0, len(again))) as int), unnest(again) from f where len(again) > 0"""
+)
 def token_chunks(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("source", "doc_id", scoring.token_estimate(F.col("text")).alias("tokens"))
     return detection.token_chunks(d, "source", "doc_id", "tokens", max_tokens=20_000)
@@ -538,7 +556,7 @@ def group_spans(spark, sf_dir):
 
 @register("select event_id, cast(json_extract(props, '$.k') as bigint) as k from events")
 def json_args(spark, sf_dir):
-    return table(spark, sf_dir, "events").select("event_id", F.try_variant_get(F.try_parse_json("props"), "$.k", "long").alias("k"))
+    return table(spark, sf_dir, "events").select("event_id", variants.get(variants.parsed(F.col("props")), "$.k", "long").alias("k"))
 
 
 @register("select event_id, epoch_us(ts) as from_ns, epoch_us(ts) // 1000000 * 1000000 as from_seconds from events")

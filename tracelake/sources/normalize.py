@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tracelake.functions.scoring import blank_to_null, parse_time
 from tracelake.sources.spans import dialect
+from tracelake.sources.variants import attributes, first_of, kept, last_of, messages
 
 BASE = ("session_id", "trace_id", "span_id", "parent_span_id", "span_pos", "name", "start_time", "end_time", "scope", "status", "status_text", "operation")
 
@@ -66,17 +67,6 @@ def _last_text(raw: Column, role: str | None = None, first: bool = False) -> Col
     return text(F.try_element_at(fits, F.lit(1 if first else -1)))
 
 
-def indexed(raw: DataFrame, prefix: str, fields: tuple[str, ...] = ("role", "content")) -> DataFrame:
-    """Messages of flattened attributes ``prefix.N.field`` (with ``message.`` before the field or not) up to the first
-    missing role: span_pos, idx and the fields."""
-    entries = raw.select("span_pos", F.explode(F.from_json(F.col("span").cast("string"), "attributes map<string,string>")["attributes"]).alias("key", "value"))
-    pattern = "^" + prefix.replace(".", r"\.") + r"\.(\d+)\.(?:message\.)?(\w+)$"
-    hit = entries.where(F.col("key").rlike(pattern)).select("span_pos", F.regexp_extract("key", pattern, 1).cast("int").alias("idx"), F.regexp_extract("key", pattern, 2).alias("field"), "value")
-    rows = hit.groupBy("span_pos", "idx").pivot("field", list(fields)).agg(F.first("value"))
-    seen = F.row_number().over(Window.partitionBy("span_pos").orderBy("idx")) - 1
-    return rows.where(f"{fields[0]} is not null").withColumn("__n", seen).where("__n = idx").drop("__n")
-
-
 def _body_messages(events: Column, side: str) -> Column:
     """Messages of the first event whose body has an input or an output, else of the span's own body."""
     part = lambda e, p, kind="variant": F.try_variant_get(e, p, kind)
@@ -116,10 +106,11 @@ def normalize(raw: DataFrame) -> DataFrame:
     b = base(raw)
     kind = kind_of(b)
     spans = b.withColumn("span_type", kind).withColumn("dialect", F.coalesce(dialect(F.col("scope")), F.when(F.col("operation").isNotNull(), "genai").otherwise("in_memory")))
-    prompts = indexed(raw, "llm.input_messages").where("role in ('user', 'human')").groupBy("span_pos").agg(F.min_by("content", "idx").alias("flat_prompt"))
-    answers = indexed(raw, "llm.output_messages").where("idx = 0").select("span_pos", F.col("content").alias("flat_response"))
-    older = indexed(raw, "gen_ai.prompt").where("role = 'user'").groupBy("span_pos").agg(F.max_by("content", "idx").alias("old_prompt"))
-    spans = spans.join(prompts, "span_pos", "left").join(answers, "span_pos", "left").join(older, "span_pos", "left")
+    names = attributes()
+    told_in = F.filter(messages(names, "llm.input_messages"), lambda m: m["role"].isin("user", "human"))
+    older = F.filter(messages(names, "gen_ai.prompt"), lambda m: m["role"] == "user")
+    flat_response = first_of(F.filter(messages(names, "llm.output_messages"), lambda m: m["idx"] == 0))["content"]
+    flat_prompt, old_prompt = first_of(told_in)["content"], last_of(older)["content"]
     inputs, outputs = attribute_any("gen_ai.input.messages", "input.value"), attribute_any("gen_ai.output.messages", "output.value")
     events = F.try_variant_get("span", "$.span_events", "array<variant>")
     event_in, event_out = _body_messages(events, "input"), _body_messages(events, "output")
@@ -132,8 +123,8 @@ def normalize(raw: DataFrame) -> DataFrame:
     called = F.coalesce(_event_value(events, "gen_ai.tool.message", "content"), F.when(F.startswith(told, F.lit("{")), told))
     return spans.select(
         *BASE, "span_type", "dialect",
-        F.coalesce(blank_to_null(F.col("flat_prompt")), blank_to_null(F.col("old_prompt")), F.when(~tool, told), _last_text(inputs, "user|human"), _last_text(event_in, "user|human"), F.when(~F.startswith(inputs, F.lit("[")), inputs)).alias("user_prompt"),
-        F.coalesce(blank_to_null(F.col("flat_response")), F.when(~tool, answer), _last_text(outputs), _last_text(event_out), F.when(~F.startswith(outputs, F.lit("[")), outputs), F.when(failed, F.col("status_text"))).alias("agent_response"),
+        F.coalesce(blank_to_null(flat_prompt), blank_to_null(old_prompt), F.when(~tool, told), _last_text(inputs, "user|human"), _last_text(event_in, "user|human"), F.when(~F.startswith(inputs, F.lit("[")), inputs)).alias("user_prompt"),
+        F.coalesce(blank_to_null(flat_response), F.when(~tool, answer), _last_text(outputs), _last_text(event_out), F.when(~F.startswith(outputs, F.lit("[")), outputs), F.when(failed, F.col("status_text"))).alias("agent_response"),
         attribute_any("gen_ai.system_instructions", "system_prompt").alias("system_prompt"),
         F.when(is_tool, F.coalesce(attribute_any("gen_ai.tool.name", "tool.name"), F.col("name"))).alias("tool_name"),
         F.when(is_tool, F.coalesce(called, attribute_any("gen_ai.tool.call.arguments", "input.value"), F.to_json(attribute("gen_ai.tool.call.arguments", "variant")))).alias("tool_arguments"),
@@ -145,8 +136,11 @@ def normalize(raw: DataFrame) -> DataFrame:
 
 def accepted(spans: DataFrame) -> DataFrame:
     """Spans with a type; tool spans need a name, agent spans a prompt or a response."""
-    return spans.where((F.col("span_type") == "inference") | ((F.col("span_type") == "execute_tool") & F.col("tool_name").isNotNull()) | (
-        (F.col("span_type") == "invoke_agent") & (F.col("user_prompt").isNotNull() | F.col("agent_response").isNotNull())))
+    def fits(r: Column) -> Column:
+        tool = (r["span_type"] == "execute_tool") & r["tool_name"].isNotNull()
+        return (r["span_type"] == "inference") | tool | ((r["span_type"] == "invoke_agent") & (r["user_prompt"].isNotNull() | r["agent_response"].isNotNull()))
+
+    return kept(spans, fits)
 
 
 def rejected(spans: DataFrame) -> DataFrame:
@@ -163,7 +157,8 @@ def trace_order(spans: DataFrame) -> DataFrame:
 def backfill_agents(spans: DataFrame) -> DataFrame:
     """Agent spans without prompt or response take the first user text and the last answer of their child inferences."""
     kids = spans.where("span_type = 'inference'").groupBy("trace_id", F.col("parent_span_id").alias("span_id")).agg(
-        F.min_by("user_prompt", F.struct("start_time", "span_pos")).alias("__p"), F.max_by("agent_response", F.struct("start_time", "span_pos")).alias("__r"))
+        F.min_by("user_prompt", F.when(blank_to_null(F.col("user_prompt")).isNotNull(), F.struct("start_time", "span_pos"))).alias("__p"),
+        F.max_by("agent_response", F.when(blank_to_null(F.col("agent_response")).isNotNull(), F.struct("start_time", "span_pos"))).alias("__r"))
     agent = F.col("span_type") == "invoke_agent"
     joined = spans.join(kids, ["trace_id", "span_id"], "left")
     return joined.withColumns({c: F.when(agent, F.coalesce(blank_to_null(F.col(c)), F.col(k))).otherwise(F.col(c)) for c, k in (("user_prompt", "__p"), ("agent_response", "__r"))}).drop("__p", "__r")
