@@ -403,16 +403,16 @@ def _skill_messages(spark, sf_dir):
     skill = F.concat(F.lit("skill-"), (F.col("event_id") % 5).cast("string"))
     said = F.when(F.col("event_id") % 3 == 1, F.concat(F.lit("Skill '"), skill, F.lit("' not found. Available: none"))).otherwise(F.concat(F.lit("# How to\nuse "), skill))
     arr = lambda role, block: F.concat(F.lit('{"role":"' + role + '","content":['), block, F.lit("]}"))
-    bedrock = arr("assistant", _json(toolUse=F.struct(F.lit("skills").alias("name"), i.alias("toolUseId"), F.struct(skill.alias("skill_name")).alias("input"))))
-    bedrock_result = arr("user", _json(toolResult=F.struct(i.alias("toolUseId"), F.lit("success").alias("status"), F.array(F.struct(said.alias("text"))).alias("content"))))
-    claude = arr("assistant", _json(type=F.lit("tool_use"), id=i, name=F.lit("Skill"), input=F.struct(skill.alias("skill"))))
-    claude_result = arr("user", _json(type=F.lit("tool_result"), tool_use_id=i, content=said))
-    codex = _json(type=F.lit("function_call"), call_id=i, name=F.lit("exec_command"), arguments=_json(cmd=F.concat(F.lit("bash -lc 'cat skills/"), skill, F.lit("/SKILL.md | head -20'"))))
-    codex_result = _json(type=F.lit("function_call_output"), call_id=i, output=F.concat(F.lit("Wall time: 0.1 seconds\nProcess exited with code "), F.when(F.col("event_id") % 3 == 1, "1").otherwise("0"), F.lit("\nOutput:\n"), said))
+    wrapped = arr("assistant", _json(toolUse=F.struct(F.lit("skills").alias("name"), i.alias("toolUseId"), F.struct(skill.alias("skill_name")).alias("input"))))
+    wrapped_result = arr("user", _json(toolResult=F.struct(i.alias("toolUseId"), F.lit("success").alias("status"), F.array(F.struct(said.alias("text"))).alias("content"))))
+    typed = arr("assistant", _json(type=F.lit("tool_use"), id=i, name=F.lit("Skill"), input=F.struct(skill.alias("skill"))))
+    typed_result = arr("user", _json(type=F.lit("tool_result"), tool_use_id=i, content=said))
+    coded = _json(type=F.lit("function_call"), call_id=i, name=F.lit("exec_command"), arguments=_json(cmd=F.concat(F.lit("bash -lc 'cat skills/"), skill, F.lit("/SKILL.md | head -20'"))))
+    coded_result = _json(type=F.lit("function_call_output"), call_id=i, output=F.concat(F.lit("Wall time: 0.1 seconds\nProcess exited with code "), F.when(F.col("event_id") % 3 == 1, "1").otherwise("0"), F.lit("\nOutput:\n"), said))
     bare = arr("assistant", _json(name=F.lit("load_skill"), args=F.struct(skill.alias("skill_name"))))
     bare_result = _json(type=F.lit("tool_response"), content=said)
-    call = F.when(k == 0, bedrock).when(k == 1, claude).when(k == 2, codex).otherwise(bare)
-    result = F.when(k == 0, bedrock_result).when(k == 1, claude_result).when(k == 2, codex_result).otherwise(bare_result)
+    call = F.when(k == 0, wrapped).when(k == 1, typed).when(k == 2, coded).otherwise(bare)
+    result = F.when(k == 0, wrapped_result).when(k == 1, typed_result).when(k == 2, coded_result).otherwise(bare_result)
     items = F.when(F.col("event_id") % 3 == 0, F.array(F.struct(F.lit(0).alias("at"), call.alias("item")))).otherwise(F.array(F.struct(F.lit(0).alias("at"), call.alias("item")), F.struct(F.lit(1).alias("at"), result.alias("item"))))
     rows = e.select(F.col("user_id").alias("session_id"), "event_id", F.explode(items).alias("x"))
     return rows.select("session_id", (F.col("event_id") * 2 + F.col("x.at")).cast("long").alias("msg_pos"), "x.item")

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 CASES = (
     "name string, session_id string, input string, expected_output string, expected_assertion string, expected_trajectory array<string>, metadata map<string,string>"
 )
+#: Names that metric records must have for their readers (format, fixed values).
+METRIC_HEAD, METRIC_LIST = "_aws", "CloudWatchMetrics"
 REPORT = "evaluator string, case_name string, score double, test_pass boolean, reason string, applicable boolean"
 
 
@@ -100,8 +102,8 @@ def write_metrics(report: DataFrame, path: str, namespace: str = "evaluations")
     dimensions = F.array_compact(F.array(F.when(F.col("evaluator").isNotNull(), F.lit("evaluator")), F.when(F.col("case_name").isNotNull(), F.lit("case_name"))))
     metric = lambda name: F.struct(F.lit(name).alias("Name"))
     directive = F.struct(F.lit(namespace).alias("Namespace"), F.array(dimensions).alias("Dimensions"), F.array(*map(metric, ("score", "passed", "n"))).alias("Metrics"))
-    head = F.struct((F.unix_millis(F.current_timestamp())).alias("Timestamp"), F.array(directive).alias("CloudWatchMetrics"))
-    metric_records(report).select(head.alias("_aws"), "evaluator", "case_name", "score", "passed", "n").write.mode("append").json(path)
+    head = F.struct((F.unix_millis(F.current_timestamp())).alias("Timestamp"), F.array(directive).alias(METRIC_LIST))
+    metric_records(report).select(head.alias(METRIC_HEAD), "evaluator", "case_name", "score", "passed", "n").write.mode("append").json(path)
 
 
 def metric_records(report: DataFrame) -> DataFrame:
