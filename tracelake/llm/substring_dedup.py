@@ -41,7 +41,7 @@ from tracelake.runtime import Scratch, input_bytes, parts_for, ship_package
 
 WINDOW = 20
 ANCHOR = 6
-RUN_BYTES = 4_000_000
+RUN_BYTES = 2_000_000
 LONGEST_PIECE = 16_000
 #: Hash functions to try; already the second is needed with a chance of less than one in a million runs.
 HASHES = 8
