@@ -27,7 +27,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest id stays."""
+    """Of each group of near copies, found by SimHash and compared exactly, the document with the smallest id stays."""
     return similarity.keep_one_similar(docs, NEAR_WORDS, NEAR_SIMILARITY)
 
 

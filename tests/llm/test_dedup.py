@@ -8,6 +8,7 @@ import pytest
 import xxhash
 
 from tracelake.llm import similarity, simhash, substring_dedup
+from tracelake.llm.common import mix, splitmix
 from tracelake.llm.components import connected_components
 from tracelake.llm.skew import skew_join
 from tracelake.runtime import Scratch, table
@@ -291,3 +292,74 @@ def test_decisions_follow_the_similarity_and_not_the_size(spark):
     want = {i for i, t in rows if i % 2 == 0 or jaccard(t, rows[i - 1][1]) < 0.8}
     assert kept_ids(spark, rows) == want
     assert kept_ids(spark, rows + others) == want | {i for i, _ in others}
+
+
+def test_candidates_come_from_simhash_blocks(spark, monkeypatch):
+    """The bits of each class are set where over half of its shingles' hashes have them, whatever the text's length."""
+    seen = {}
+    ties = similarity.candidate_ties
+
+    def spy(classes, plan):
+        seen["plan"], seen["fps"] = plan, {r.fp for r in classes.collect()}
+        return ties(classes, plan)
+
+    monkeypatch.setattr(similarity, "candidate_ties", spy)
+    rows = [(i, words(100 + i, n, 10**6)) for i, n in enumerate((8, 9, 30, 259, 260, 700))] + [(10, "too short to be near another"), (11, None)]
+    assert kept_ids(spark, rows) == {i for i, _ in rows}
+    want = {b""}
+    for _, text in rows[:6]:
+        w = text.encode().split()
+        hashes = np.array(sorted({xxhash.xxh64_intdigest(b" ".join(w[p : p + 5]), 42) for p in range(len(w) - 4)}), np.uint64)
+        each = [int(x) for x in splitmix(seen["plan"].slices * 4, 97)]
+        value = b""
+        for salt in each:
+            mixed = mix(hashes ^ np.uint64(salt))
+            value += np.packbits(np.unpackbits(mixed.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=int) * 2 > len(hashes)).tobytes()
+        want.add(value)
+    assert seen["fps"] == want
+
+
+@pytest.mark.parametrize("group", [1 << 20, 300])
+def test_pairs_at_the_similarity_are_candidates(spark, group):
+    """Pairs of sets at 0.8, of 4 shingles and more, all meet, also where slices are dealt over groups; strangers do not."""
+    r, plan = np.random.default_rng(29), similarity.scheme(3000, 0.8, group)
+    assert (plan.route > 0) == (group < 3000)
+    rows = []
+    for pair in range(1500):
+        n = (5, 10, 15, 25, 100)[pair % 5]
+        own = r.integers(0, 1 << 63, n).astype(np.uint64)
+        rows += [(2 * pair, similarity.fingerprint(own, plan.slices)), (2 * pair + 1, similarity.fingerprint(own[: n * 4 // 5], plan.slices))]
+    classes = spark.createDataFrame([*rows, (9999, b"")], "cls long, fp binary").repartition(3)
+    found = {(min(e), max(e)) for e in similarity.candidate_ties(classes, plan).collect()}
+    assert found == {(2 * i, 2 * i + 1) for i in range(1500)}
+
+
+def test_chance_of_a_miss_is_alike_at_every_size():
+    for n in (1, 10**4, 10**7, 10**10):
+        plan = similarity.scheme(n)
+        assert similarity.missed(similarity.worst_share(0.8), plan.route, plan.limit) ** plan.slices <= similarity.MISSED
+        assert n >> plan.route <= similarity.GROUP_CLASSES
+    assert similarity.bit_share(5, 4, 4) == similarity.worst_share(0.8) == 0.1875
+    assert similarity.scheme(1).least == 4
+
+
+def test_large_blocks_join_all_that_is_near():
+    """A chain of small steps within one large block, a dense cluster and strangers: components are those of all pairs."""
+    r = np.random.default_rng(31)
+    words = r.integers(0, 1 << 63, (900, 4)).astype(np.uint64)
+    for i in range(1, 300):  # each differs from the one before in up to 40 bits
+        words[i] = words[i - 1]
+        for b in r.integers(0, 256, 40).tolist():
+            words[i, b // 64] ^= np.uint64(1) << np.uint64(b % 64)
+    words[300:700] = words[300]
+    words[300:700, 3] ^= np.arange(400, dtype=np.uint64)
+    words = words[r.permutation(900)]
+    ties = similarity._Ties(words, 58)
+    ties.block(np.zeros(900, np.uint16))
+    apart = np.bitwise_count(words[:, None] ^ words).sum(axis=2) <= 58
+    name = np.arange(900)
+    while ((new := np.where(apart, name, 900).min(axis=1)) != name).any():
+        name = new
+    roots = ties.roots(np.arange(900))
+    assert len(set(zip(roots.tolist(), name.tolist()))) == len(set(roots.tolist())) == len(set(name.tolist())) < 220
+    assert all(apart[a, b] or name[a] == name[b] for a, b in zip(np.concatenate(ties.a), np.concatenate(ties.b)))
